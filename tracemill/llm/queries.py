@@ -12,6 +12,7 @@ from .common import stored, table
 from .minhash import near_duplicates
 from .packing import pack_pieces, tokenize_pieces
 from .quality import fit_quality, judged, quality_features
+from .substrings import remove_repeats
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,16 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack_pieces(digests)
 
+#: A run of characters that are no ASCII white space, and of those that are.
+WORD, GAP = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=50)
+    text = F.coalesce("text", F.lit(""))
+    kept = F.sha2(F.trim(F.regexp_replace(text, GAP, " ")), 256)
+    return cut.select("doc_id", (F.regexp_count(text, F.lit(WORD)) + F.col("n_removed")).cast("long").alias("n_words"), "n_removed", kept.alias("kept_sha256"))
+
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = stored(quality_features(table(spark, sf_dir, "documents").select("doc_id", "text")), "quality")
@@ -31,6 +42,7 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
 }
