@@ -12,6 +12,7 @@ from .common import stored, table
 from .minhash import near_duplicates
 from .packing import pack_pieces, tokenize_pieces
 from .quality import fit_quality, judged, quality_features
+from .secret_scan import BASE_KINDS, find_secrets, joined_spans, of_kind
 from .substrings import remove_repeats
 
 
@@ -40,10 +41,17 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(of_kind((kind,))).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined_spans(of_kind(BASE_KINDS)), 256).alias("base_sha256"), joined_spans(F.col("findings")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_secret_scans": op6_secret_scans,
 }
 SQL: dict[str, str] = {}
