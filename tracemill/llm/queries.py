@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 from .knn import quantised, top_k
+from .langid import fit_languages, predict_language
+from .licenses import find_licenses
 from .minhash import near_duplicates
 from .packing import pack_pieces, tokenize_pieces
 from .quality import fit_quality, judged, quality_features
@@ -33,6 +35,13 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", (F.regexp_count(text, F.lit(WORD)) + F.col("n_removed")).cast("long").alias("n_words"), "n_removed", kept.alias("kept_sha256"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
+    model = fit_languages(docs.filter("not held_out"))
+    return predict_language(docs.select("doc_id", "text", "held_out"), model)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = stored(quality_features(table(spark, sf_dir, "documents").select("doc_id", "text")), "quality")
     return judged(counted, fit_quality(counted)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
@@ -53,13 +62,27 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows, rows.filter(F.col("id") % 50 == 0)).withColumnRenamed("id", "vec_id")
 
 
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, more = F.transform("places", lambda x: x["label"]), F.transform("blocks", lambda x: x["label"])
+    best = F.coalesce(F.array_max(F.transform("blocks", lambda x: x["containment"])), F.lit(0.0))
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+        F.array_min(F.transform("places", lambda x: x["word"])).alias("first_word"), F.array_max(F.transform("places", lambda x: x["word"])).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"), F.array_join(F.array_sort(F.array_distinct(F.concat(base, more))), ",").alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(best).alias("score"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_secret_scans": op6_secret_scans,
     "op7_exact_top_k": op7_exact_top_k,
+    "op8_license_scans": op8_license_scans,
 }
 SQL: dict[str, str] = {
     "op7_exact_top_k": """
