@@ -15,6 +15,7 @@ from .licenses import find_licenses
 from .minhash import near_duplicates
 from .packing import pack_pieces, tokenize_pieces
 from .quality import fit_quality, judged, quality_features
+from .sampling import decode_pieces, sample_pieces
 from .secret_scan import BASE_KINDS, find_secrets, joined_spans, of_kind
 from .substrings import remove_repeats
 
@@ -74,6 +75,14 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    encoded = sample_pieces(docs, model).withColumn("n_pieces", (F.length("ids") / 4).cast("long")).withColumn("ids_crc32", F.crc32("ids"))
+    decoded = F.sha2(F.col("text"), 256)
+    return decode_pieces(encoded, model).select("doc_id", "n_pieces", "ids_crc32", decoded.alias("decoded_sha256"), (decoded == F.col("sha")).alias("lossless"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -83,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secret_scans": op6_secret_scans,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_license_scans": op8_license_scans,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 SQL: dict[str, str] = {
     "op7_exact_top_k": """
