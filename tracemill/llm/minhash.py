@@ -12,9 +12,11 @@ rounds join the forests.
 
 Within a bucket candidates are not all pairs.  Each member is first held against
 the bucket's smallest member, its centre.  What that joins needs no more pairs
-inside.  Members that it leaves outside the centre's group are then held against
-the members of other groups, unless sizes, sketches or the distances of both to
-the centre (Jaccard distance is a metric) rule a link out.  No bucket is capped.
+inside.  In further rounds the members of other groups are held against a member
+drawn from the bucket.  Only what is then still apart is held against each other,
+unless sizes, sketches or the distances of both to the centre (Jaccard distance is
+a metric) rule a link out.  No bucket is capped and every candidate pair is either
+judged or inside one group.
 
 With 32 bands of 4 a pair at similarity 0.8 is missed with chance 5e-8.
 
@@ -39,6 +41,8 @@ from .common import chunks, lowered, mix, stored, words_of
 COMPONENTS, BAND_ROWS = 128, 4
 #: Most bits of two sketches that may differ.
 MOST_UNLIKE = 32
+#: Rounds in which each bucket's groups are held against one drawn member.
+PIVOT_ROUNDS = 3
 #: Ids that are broadcast at most (8 bytes each).
 BROADCAST_IDS = 1_000_000
 
@@ -240,6 +244,19 @@ def _possible(n_a: str, n_b: str, sketch_a: str, sketch_b: str, percent: int) ->
     return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (_unlike(sketch_a, sketch_b) <= MOST_UNLIKE)
 
 
+def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """groups (id, root) with more links."""
+    return stored(components(groups.filter("id != root").select(F.col("root").alias("a"), F.col("id").alias("b")).union(links)), "groups")
+
+
+def _tagged(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """members of those buckets that hold several groups, with their root and their centre's."""
+    tagged = members.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = tagged.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    centers = groups.select(F.col("id").alias("center"), F.col("root").alias("center_root"))
+    return tagged.join(mixed, "key", "left_semi").join(centers, "center", "left").withColumn("center_root", F.coalesce("center_root", "center"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, m: int = COMPONENTS, rows: int = BAND_ROWS) -> DataFrame:
     """id, n_shingles, component_id and kept for every document of docs.
 
@@ -258,23 +275,56 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     judged = _verify(stored(first, "pairs"), docs, id_col, text, width)
     alike = F.col("similarity") >= percent / 100
     links = judged.filter(alike).select("a", "b")
-    groups = components(links)
-
-    # Members that are not in their centre's group, against the members of other groups.
-    tagged = members.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    tagged = tagged.join(groups.select(F.col("id").alias("center"), F.col("root").alias("center_root")), "center", "left").withColumn("center_root", F.coalesce("center_root", "center"))
-    tagged = tagged.join(judged.select(F.col("a").alias("center"), F.col("b").alias("id"), "similarity"), ["center", "id"], "left").select("key", "id", "n_shingles", "sketch_0", "sketch_1", "root", F.col("root").eqNullSafe(F.col("center_root")).alias("main"), F.when(F.col("id") == F.col("center"), 1.0).otherwise(F.col("similarity")).alias("near"))
-    tagged = stored(tagged.join(tagged.filter("not main").select("key").distinct(), "key", "left_semi"), "tagged")
-    side = [F.col(c).alias(f"u_{c}") for c in ("id", "n_shingles", "sketch_0", "sketch_1", "root", "near")]
-    odd = tagged.filter("not main").select("key", *side)
+    groups = stored(components(links), "groups")
+
+    # Rounds with another pivot for each bucket: members of other groups than the pivot's are held
+    # against it, so a round costs a pair for each member at most, and groups that many links join
+    # grow together without the other pairs.
+    seen = judged.select("a", "b")
+    for r in range(PIVOT_ROUNDS):
+        tagged = stored(_tagged(members, groups), "tagged")
+        if tagged.isEmpty():
+            break
+        drawn = F.xxhash64(F.lit(r), "id")
+        pivots = tagged.groupBy("key").agg(F.min(F.struct(drawn.alias("o"), "id", "n_shingles", "sketch_0", "sketch_1", "root")).alias("p"))
+        pivots = pivots.select("key", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("id", "n_shingles", "sketch_0", "sketch_1", "root")])
+        pairs = tagged.join(pivots, "key").filter((F.col("root") != F.col("p_root")) & _possible("n_shingles", "p_n_shingles", "sketch", "p_sketch", percent))
+        pairs = stored(pairs.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
+        found = _verify(pairs, docs, id_col, text, width)
+        seen = seen.union(found.select("a", "b"))
+        groups = _joined(groups, found.filter(alike).select("a", "b"))
+
+    # What is still in different groups of a bucket: every such pair that no filter rules out.
+    tagged = _tagged(members, groups).join(judged.select(F.col("a").alias("center"), F.col("b").alias("id"), "similarity"), ["center", "id"], "left")
+    tagged = tagged.withColumn("near", F.when(F.col("id") == F.col("center"), 1.0).otherwise(F.col("similarity"))).withColumn("main", F.col("root") == F.col("center_root"))
+    tagged = stored(tagged.drop("center", "center_root", "similarity"), "tagged")
+    odd = tagged.filter("not main").select("key", *[F.col(c).alias(f"u_{c}") for c in ("id", "n_shingles", "sketch_0", "sketch_1", "root", "near")])
     # Jaccard distance is a metric: a pair whose distances to one centre differ by more than the threshold's can't be linked.
     apart = F.coalesce(F.abs(F.col("near") - F.col("u_near")) > 1 - percent / 100 + 1e-9, F.lit(False))
     once = F.col("main") | (F.col("u_id") < F.col("id"))
     rest = tagged.join(odd, "key").filter((F.col("root") != F.col("u_root")) & once & _possible("n_shingles", "u_n_shingles", "sketch", "u_sketch", percent) & ~apart)
-    rest = rest.select(F.least("id", "u_id").alias("a"), F.greatest("id", "u_id").alias("b")).distinct().join(judged.select("a", "b"), ["a", "b"], "left_anti")
-    more = _verify(stored(rest, "pairs"), docs, id_col, text, width).filter(alike).select("a", "b")
-    groups = components(groups.filter("id != root").select(F.col("root").alias("a"), F.col("id").alias("b")).union(more))
+    rest = stored(rest.select(F.least("id", "u_id").alias("a"), F.greatest("id", "u_id").alias("b")).distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
+    if not rest.isEmpty():
+        groups = _joined(groups, _verify(rest, docs, id_col, text, width).filter(alike).select("a", "b"))
     member = signed.select("id", "n_shingles", "set_a", "set_b").join(classes, ["n_shingles", "set_a", "set_b"], "left")
     member = member.join(groups.select(F.col("id").alias("class_id"), "root"), "class_id", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "class_id", "id")).otherwise(F.col("id"))
     return member.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each group of near duplicates: the one with the smallest id.
+
+    Texts move only where an id stands in docs more than once, or where the ids to drop are too many to broadcast.
+    """
+    judged = stored(near_duplicates(docs, id_col, text, width, percent), "near_duplicates")
+    gone = judged.filter("not kept").select(F.col(id_col).alias("gone_id")).distinct()
+    few = gone.count() <= BROADCAST_IDS
+    left = docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("long") == F.col("gone_id"), "left_anti")
+    again = stored(judged.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("again_id")).count().filter("count > 1").select("again_id"), "repeated")
+    if again.isEmpty():
+        return left
+    same = left[id_col].cast("long") == F.col("again_id")
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([id_col]))
