@@ -1,4 +1,4 @@
-"""Named queries over the fixture tables, with the SQL that each is held against."""
+"""All named queries, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from .queries import aggregates, sequences
+
+_MODULES = (aggregates, sequences)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.SQL.items()}

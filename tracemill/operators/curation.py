@@ -1,0 +1,112 @@
+"""Findings in texts: personal data by rule, hashed findings, allow lists, redaction."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Rules for personal data as (rule, pattern, entity type, confidence), in the order in which they apply.
+PII_RULES = (
+    ("github_url_username", r"github\.com/([A-Za-z0-9_.-]{2,})", "username", 0.85),
+    ("github_raw_url_username", r"raw\.githubusercontent\.com/([A-Za-z0-9_.-]{2,})", "username", 0.85),
+    ("email", r"([A-Za-z0-9_.+-]{3,}@[A-Za-z0-9.-]+\.[A-Za-z]{2,})", "email", 0.90),
+    ("email_truncated", r"([A-Za-z0-9_.+-]{3,})@(?=\s|$)", "email", 0.75),
+    ("telegram_bot_token", r"(\d{8,}:[A-Za-z0-9_-]{30,})", "custom_sensitive", 0.95),
+    ("personal_hostname", r"\b([a-z][a-z0-9]*s?-(?:macbook|imac|laptop|desktop|pc|workstation|server)-?[a-z0-9]*)\b", "device_id", 0.80),
+    ("home_dir_path", r"(/(?:Users|home)/[A-Za-z0-9._-]{2,}/[^\s\"'`,;)}\]]{3,})", "path", 0.85),
+    ("private_ip_10", r"\b(10\.\d{1,3}\.\d{1,3}\.\d{1,3})\b", "custom_sensitive", 0.70),
+    ("private_ip_172", r"\b(172\.(?:1[6-9]|2\d|3[01])\.\d{1,3}\.\d{1,3})\b", "custom_sensitive", 0.70),
+    ("private_ip_192", r"\b(192\.168\.\d{1,3}\.\d{1,3})\b", "custom_sensitive", 0.70),
+    ("mac_address", r"\b((?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2})\b", "device_id", 0.95),
+    ("ssn_us", r"\b((?!000|666|9\d{2})\d{3}-(?!00)\d{2}-(?!0000)\d{4})\b", "custom_sensitive", 0.90),
+    ("phone_e164", r"(?<!\d)(\+\d{1,3}[-.\s]?\(?\d{1,4}\)?[-.\s]?\d{2,4}[-.\s]?\d{3,9})(?!\d)", "custom_sensitive", 0.55),
+    ("internal_tld_host", r"(?i)\b([a-z0-9][a-z0-9-]*(?:\.[a-z0-9][a-z0-9-]*)*\.(?:local|internal|corp|lan|intranet|localnet))\b", "private_url", 0.80),
+    ("localhost_url", r"(https?://(?:localhost|127\.0\.0\.1)(?::\d{2,5})?(?:/[^\s\"'`<>]*)?)", "private_url", 0.85),
+    ("npm_scoped_package", r"(?<![A-Za-z0-9])(@[a-z0-9][a-z0-9-]{1,38}/[a-z0-9][a-z0-9._-]{1,63})\b", "project_name", 0.70),
+    ("aws_arn", r"(arn:aws:[a-z0-9-]+:[a-z0-9-]*:\d{12}:[^\s\"'`<>]+)", "custom_sensitive", 0.95),
+    ("gcp_project_id", r"projects/([a-z][a-z0-9-]{4,28}[a-z0-9])(?![A-Za-z0-9])", "project_name", 0.80),
+    ("credit_card", r"(?<!\d)((?:\d[ -]?){12,18}\d)(?!\d)", "custom_sensitive", 0.60),
+)
+EMAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+
+
+def skipped(found: str, kind: str) -> bool:
+    """Too short, a placeholder in brackets, or a sender that isn't a person."""
+    return len(found) < 3 or (found.startswith("[") and found.endswith("]")) or (kind == "email" and found.lower().startswith(("noreply@", "no-reply@")))
+
+
+def without_overlaps(spans: list[tuple]) -> list[tuple]:
+    """Spans (start, end, confidence, ...) that don't overlap: the longest first, then the surest, then the leftmost."""
+    taken: list[tuple] = []
+    for s in sorted(spans, key=lambda s: (s[0] - s[1], -s[2], s[0])):
+        if all(s[1] <= t[0] or s[0] >= t[1] for t in taken):
+            taken.append(s)
+    return sorted(taken)
+
+
+def pii_spans(docs: DataFrame, id: str, text: str, rules: tuple = PII_RULES) -> DataFrame:
+    """id, start, end, rule, entity_type, confidence, entity: personal data without overlaps, in code points."""
+    key = docs.schema[id].dataType.simpleString()
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        compiled = [(name, re.compile(pattern), kind, sure) for name, pattern, kind, sure in rules]
+        for frame in frames:
+            rows = []
+            for key_value, value in zip(frame[id], frame[text], strict=True):
+                spans = [(m.start(1), m.end(1), sure, name, kind, m[1]) for name, rx, kind, sure in compiled for m in rx.finditer(value or "") if not skipped(m[1], kind)]
+                rows += [(key_value, *s) for s in without_overlaps(spans)]
+            yield pd.DataFrame(rows, columns=["id", "start", "end", "confidence", "rule", "entity_type", "entity"])
+
+    return docs.select(F.col(id), F.col(text)).mapInPandas(work, f"id {key}, start int, end int, confidence double, rule string, entity_type string, entity string").withColumnRenamed("id", id)
+
+
+def entity_hash(kind: Column, entity: Column, salt: str = "") -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(salt), kind, F.lower(entity)), 256)
+
+
+def finding_id(*parts: Column) -> Column:
+    """The same finding, the same id, whoever computes it."""
+    return F.substring(F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256), 1, 32)
+
+
+def emails_of(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """id, entity of each different address of a text."""
+    return docs.select(F.col(id), F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(EMAIL), F.lit(0)))).alias("entity"))
+
+
+def grouped_findings(findings: DataFrame, group: list[str], confidence: str, entity: str) -> DataFrame:
+    """Findings of one entity together: how many, the highest confidence, and the entity that has it."""
+    best = F.max_by(entity, F.struct(confidence, entity)).alias("representative")
+    return findings.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.max(confidence).alias("confidence"), best)
+
+
+def decided(findings: DataFrame, decisions: DataFrame, group: list[str]) -> DataFrame:
+    """findings with the status that a decision on any of their group gives to all; others are open."""
+    return findings.join(decisions.select(*group, F.col("status").alias("decision")), group, "left").withColumn("status", F.coalesce("decision", F.lit("open"))).drop("decision")
+
+
+def redacted(text: Column, patterns: dict[str, str], domains: tuple[str, ...] = ()) -> Column:
+    """text with blocked domains and their subdomains, then each pattern in turn, replaced by placeholders."""
+    out = text
+    for domain in domains:
+        out = F.regexp_replace(out, r"(?:[A-Za-z0-9-]+\.)*" + re.escape(domain), "[REDACTED_DOMAIN]")
+    for placeholder, pattern in patterns.items():
+        out = F.regexp_replace(out, pattern, placeholder)
+    return out
+
+
+def entropy_candidates(docs: DataFrame, id: str, text: str, least: int = 20, bits: float = 4.0, top: int = 15) -> DataFrame:
+    """id, token, entropy: the top tokens of a text by entropy, of least characters and of letters and digits both."""
+    tokens = docs.select(F.col(id), F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[A-Za-z0-9_+/=-]{%d,}" % least), F.lit(0)))).alias("token"))
+    mixed = F.regexp_like("token", F.lit("[A-Za-z]")) & F.regexp_like("token", F.lit("[0-9]"))
+    chars = F.split("token", "")
+    share = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda d: d == c)) / F.length("token"))
+    scored = tokens.filter(mixed).withColumn("entropy", F.aggregate(share, F.lit(0.0), lambda a, p: a - p * F.log2(p)))
+    from pyspark.sql.window import Window
+
+    rank = F.row_number().over(Window.partitionBy(id).orderBy(F.desc("entropy"), "token"))
+    return scored.filter(F.col("entropy") >= bits).withColumn("place", rank).filter(F.col("place") <= top)
