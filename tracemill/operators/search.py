@@ -107,11 +107,15 @@ def parse(query: str) -> Node:
     return out
 
 
+def _less(n: int):
+    return lambda p: p - n
+
+
 def _phrase(index: DataFrame, words: tuple[str, ...]) -> DataFrame:
     """Documents with words one after another: each word's places less its place in the phrase have one in common."""
     out = None
     for i, word in enumerate(words):
-        starts = index.filter(F.col("term") == word).select("doc_id", F.transform("positions", lambda p, i=i: p - i).alias(f"p{i}"))
+        starts = index.filter(F.col("term") == word).select("doc_id", F.transform("positions", _less(i)).alias(f"p{i}"))
         out = starts if out is None else out.join(starts, "doc_id")
     common = F.col("p0")
     for i in range(1, len(words)):
