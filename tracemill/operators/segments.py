@@ -57,19 +57,19 @@ def kept_boundaries(boundaries: DataFrame, messages: DataFrame, session: str, in
     """boundaries less those whose segment has too few messages; the last segment may be small, neighbours are the original ones."""
     w = Window.partitionBy(session).orderBy("idx")
     spans = boundaries.withColumn("until", F.lead("idx").over(w))
-    m = messages.select(F.col(session).alias("s"), F.col(index).alias("i"), F.col(role).alias("r"))
-    inside = (F.col("s") == F.col(session)) & (F.col("i") >= F.col("idx")) & (F.col("until").isNull() | (F.col("i") < F.col("until")))
-    counted = spans.join(m, inside, "left").groupBy(*boundaries.columns, "until").agg(F.count("i").alias("n"), F.sum(F.when(F.col("r") == "user", 1).otherwise(0)).alias("users"))
+    m = messages.select(F.col(session).alias("m_session"), F.col(index).alias("m_index"), F.col(role).alias("m_role"))
+    inside = (F.col("m_session") == F.col(session)) & (F.col("m_index") >= F.col("idx")) & (F.col("until").isNull() | (F.col("m_index") < F.col("until")))
+    counted = spans.join(m, inside, "left").groupBy(*boundaries.columns, "until").agg(F.count("m_index").alias("n"), F.sum(F.when(F.col("m_role") == "user", 1).otherwise(0)).alias("users"))
     return counted.filter(F.col("until").isNull() | (F.col("users") >= MIN_USER_MESSAGES) | (F.col("n") >= MIN_MESSAGES)).select(*boundaries.columns)
 
 
 def split(messages: DataFrame, boundaries: DataFrame, session: str, index: str) -> DataFrame:
     """messages with segment (from 0) and segment_id (the session's id with _seg-NN)."""
-    cut = boundaries.select(F.col(session).alias("s"), F.col("idx").alias("cut"))
-    tagged = messages.join(cut, (F.col(session) == F.col("s")) & (F.col(index) == F.col("cut")), "left")
+    cut = boundaries.select(F.col(session).alias("cut_session"), F.col("idx").alias("cut"))
+    tagged = messages.join(cut, (F.col(session) == F.col("cut_session")) & (F.col(index) == F.col("cut")), "left")
     w = _w(session, index).rowsBetween(Window.unboundedPreceding, 0)
     segment = F.count("cut").over(w)
-    return tagged.withColumn("segment", segment).drop("s", "cut").withColumn("segment_id", F.concat(F.col(session).cast("string"), F.lit("_seg-"), F.lpad(F.col("segment").cast("string"), 2, "0")))
+    return tagged.withColumn("segment", segment).drop("cut_session", "cut").withColumn("segment_id", F.concat(F.col(session).cast("string"), F.lit("_seg-"), F.lpad(F.col("segment").cast("string"), 2, "0")))
 
 
 def training_turns(messages: DataFrame, session: str, index: str, role: str, text: str) -> DataFrame:

@@ -35,7 +35,16 @@ class SessionTable:
     """A derived table by session: one folder for each version, of which the last written counts."""
 
     def __init__(self, spark: SparkSession, path: str, key: str = "session_id"):
-        self.spark, self.path, self.key, self.version = spark, path, key, 0
+        self.spark, self.path, self.key, self.version = spark, path, key, self._last(spark, path)
+
+    @staticmethod
+    def _last(spark: SparkSession, path: str) -> int:
+        """The last version whose writing ended: it has a _SUCCESS file."""
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs, n = folder.getFileSystem(spark._jsc.hadoopConfiguration()), 0
+        while fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{n + 1}/_SUCCESS")):
+            n += 1
+        return n
 
     def read(self) -> DataFrame | None:
         return self.spark.read.parquet(f"{self.path}/v{self.version}") if self.version else None
