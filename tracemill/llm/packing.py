@@ -5,8 +5,8 @@
 best-fit decreasing, and a dual-feasible-function lower bound certifies its bin
 count.  Partitions whose count is above their bound, and the open bins that
 partitions leave, give their pieces up to an exchange: those pieces are dealt
-anew into fewer partitions and packed again, until the global bound is met or an
-exchange saves no bin.
+anew into fewer and, for a few rounds, larger partitions and packed again, until the
+global bound is met or an exchange saves no bin.
 
 Defined results: null or empty text is a piece of the end token alone; repeated
 rows are packed once each; a null doc_id is kept; an empty table gives an empty
@@ -27,10 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, free_name, lowered, stored
+from .common import chunks, free_name, in_arrow, lowered, stored
 
 #: Pieces that one packing task holds (a few tens of bytes each).
 GROUP_PIECES = 32_768
+#: Exchange rounds in each of which tasks may hold twice as many pieces as in the one before.
+GROWTH = 3
 #: Words that a task keeps encoded; a bound on its memory, not on its results.
 CACHE_WORDS = 300_000
 
@@ -136,7 +138,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capac
             if row:
                 yield out(row, piece, start, length, ids)
 
-    return docs.select(*names, text).mapInArrow(work, schema)
+    return in_arrow(docs.select(*names, text), work, schema)
 
 
 def bound_parts(capacity: int, cut_points: tuple[int, ...] = (2, 3, 4, 6, 10, 20)) -> list[tuple[str, int, int]]:
@@ -270,11 +272,11 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, length: str = "length",
     closed = 0
     current, count, before = source, n, math.inf
     for round_no in range(max_rounds):
-        current = packed(current, round_no, max(1, math.ceil(count / group_pieces)))
+        current = packed(current, round_no, max(1, math.ceil(count / (group_pieces << min(round_no, GROWTH)))))
         tally = {r[open_bin]: r for r in current.groupBy(open_bin).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sequence_id").alias("bins")).collect()}
         opened = tally.get(True)
         bins = closed + sum(r["bins"] for r in tally.values())
-        if opened is None or bins <= bound or bins >= before or round_no == max_rounds - 1:
+        if opened is None or bins <= bound or (bins >= before and round_no > GROWTH) or round_no == max_rounds - 1:
             done.append(current)
             break
         done.append(current.filter(~F.col(open_bin)))
