@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that are worked on at once (a longer text is a chunk alone).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
+#: Rows of a batch that goes to Python at most: a bound on memory where texts are long.
+BATCH_ROWS = 1000
 #: ASCII white space: the separators of words.
 SPACE_BYTES = (9, 10, 11, 12, 13, 32)
 
@@ -57,6 +59,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_arrow(df: DataFrame, work: Callable, schema: object) -> DataFrame:
+    """df.mapInArrow(work, schema), in batches of at most BATCH_ROWS rows (for the session from now on)."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(work, schema)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores before it until no column of df has it (in any case)."""
     taken = {c.lower() for c in df.columns}

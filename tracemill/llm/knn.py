@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import in_arrow, stored
 
 #: Pivots at most; they and their summaries are all that reaches every task.
 PIVOTS = 128
@@ -74,7 +74,7 @@ def _assign(rows: DataFrame, pivots: np.ndarray, width: int) -> DataFrame:
                 far.append(np.sqrt(((x - pivots[cell]) ** 2).sum(axis=1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(cells or [np.zeros(0, int)]), pa.int32()), pa.array(np.concatenate(far or [np.zeros(0)]))], names=["id", "v", "cell", "far"])
 
-    return rows.mapInArrow(work, "id long, v array<bigint>, cell int, far double")
+    return in_arrow(rows, work, "id long, v array<bigint>, cell int, far double")
 
 
 def _cells_for(queries: DataFrame, pivots: np.ndarray, width: int, sizes: np.ndarray, radius: np.ndarray, blocks: np.ndarray, k: int, own: bool) -> DataFrame:
@@ -115,7 +115,7 @@ def _cells_for(queries: DataFrame, pivots: np.ndarray, width: int, sizes: np.nda
                 part = batch.slice(lo, 256).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cell, pa.int32()), pa.array(block, pa.int32())], names=["query_id", "v", "cell", "block"])
 
-    return queries.mapInArrow(work, "query_id long, v array<bigint>, cell int, block int")
+    return in_arrow(queries, work, "query_id long, v array<bigint>, cell int, block int")
 
 
 def _solve(copies: DataFrame, data: DataFrame, width: int, k: int) -> DataFrame:

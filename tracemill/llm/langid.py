@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, lowered, mix
+from .common import chunks, in_arrow, lowered, mix
 
 BUCKETS = 4096
 #: Labelled rows, about, that weigh the bits; the n-gram counts come from all labelled rows.
@@ -114,7 +114,7 @@ def _language_counts(rows: DataFrame) -> dict[str, np.ndarray]:
         for label, counts in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([label] * BUCKETS), pa.array(np.arange(BUCKETS), pa.int32()), pa.array(counts)], names=["lang", "bucket", "n"])
 
-    summed = rows.select("text", "lang").mapInArrow(work, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    summed = in_arrow(rows.select("text", "lang"), work, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     packed = summed.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("v")).select("lang", "v.n").collect()
     return {r["lang"]: np.array(r["n"], dtype=np.float64) / 1e6 for r in packed}
 
@@ -152,7 +152,7 @@ def fit_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", c
     total = rows.count()
     kept = max(1, math.ceil(total / calibration_rows))
     sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(kept)) == 0)
-    found = sample.mapInArrow(judge, "n long, right array<double>, size array<double>")
+    found = in_arrow(sample, judge, "n long, right array<double>, size array<double>")
     sums = found.agg(F.sum("n").alias("n"), *[F.sum(F.col(c)[b]).alias(f"{c}{b}") for c in ("right", "size") for b in range(bits)]).first()
     n = sums["n"] or 0
     right = np.array([sums[f"right{b}"] or 0 for b in range(bits)])
@@ -189,4 +189,4 @@ def predict_language(docs: DataFrame, model: LanguageModel, text: str = "text")
                     close[lo:hi] = lettered & found[2]
             yield pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array(known[best].tolist(), pa.string()), pa.array(score), pa.array(close)], names=[*names, "lang_pred", "score", "ambiguous"])
 
-    return docs.select(*dict.fromkeys([*names, text])).mapInArrow(work, schema)
+    return in_arrow(docs.select(*dict.fromkeys([*names, text])), work, schema)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, lowered, stored, words_of
+from .common import chunks, in_arrow, lowered, stored, words_of
 
 THRESHOLD, BLOCK_WORDS = 0.9, 64
 
@@ -126,7 +126,7 @@ def token_frequencies(docs: DataFrame, templates: dict[str, str], text: str = "t
                 total += np.bincount(at[known[at] == hashes], minlength=len(known))
         yield pa.RecordBatch.from_arrays([pa.array(known.astype(np.int64)), pa.array(total)], names=["token", "n"])
 
-    counted = docs.select(text).mapInArrow(work, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = in_arrow(docs.select(text), work, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     return {r["token"]: r["n"] for r in counted.collect()}
 
 
@@ -180,4 +180,4 @@ def find_licenses(docs: DataFrame, text: str = "text", templates: dict[str, str]
                         blocks[lo + r].append({"label": table.labels[t], "first": w * step, "last": end - int(first[r]) - 1, "containment": share})
             yield pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array(counts), pa.array(places, place_type), pa.array(blocks, block_type)], names=[*names, "n_words", "places", "blocks"])
 
-    return docs.select(*dict.fromkeys([*names, text])).mapInArrow(work, schema)
+    return in_arrow(docs.select(*dict.fromkeys([*names, text])), work, schema)

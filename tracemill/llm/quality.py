@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE_POWERS, chunks, lowered, mix, sums_by_text, words_of
+from .common import BYTE_POWERS, chunks, in_arrow, lowered, mix, sums_by_text, words_of
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_alpha_words", "n_letters", "n_capitals", "n_ended_lines", "n_distinct_words", "n_bangs")
 
@@ -152,7 +152,7 @@ def quality_features(docs: DataFrame, text: str = "text", keep_text: bool = Fals
             counts = np.concatenate(found, axis=1) if found else np.zeros((len(FEATURES), 0), dtype=np.int64)
             yield pa.RecordBatch.from_arrays([*batch.select(names).columns, *(pa.array(x, pa.int64()) for x in counts)], names=[*names, *FEATURES])
 
-    return docs.select(*dict.fromkeys([*names, text])).mapInArrow(work, schema)
+    return in_arrow(docs.select(*dict.fromkeys([*names, text])), work, schema)
 
 
 def _share(a: str, b: str) -> Column:
