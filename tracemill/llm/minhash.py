@@ -14,8 +14,9 @@ Within a bucket candidates are not all pairs.  Each member is first held against
 the bucket's smallest member, its centre.  What that joins needs no more pairs
 inside.  In further rounds the members of other groups are held against a member
 drawn from the bucket.  Only what is then still apart is held against each other,
-unless sizes, sketches or the distances of both to the centre (Jaccard distance is
-a metric) rule a link out.  No bucket is capped and every candidate pair is either
+unless sizes, finer sketches (2048 bits; a pair at similarity 0.8 is ruled out with
+chance 3e-7) or the distances of both to the centre (Jaccard distance is a metric)
+rule a link out.  No bucket is capped and every candidate pair is either
 judged or inside one group.
 
 With 32 bands of 4 a pair at similarity 0.8 is missed with chance 5e-8.
@@ -36,13 +37,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, lowered, mix, stored, words_of
+from .common import chunks, in_arrow, lowered, mix, stored, words_of
 
 COMPONENTS, BAND_ROWS = 128, 4
 #: Most bits of two sketches that may differ.
 MOST_UNLIKE = 32
+#: Components, and so bits, of the sketches that rule out the last cross pairs, and the most of them that may differ.
+FINE_COMPONENTS, FINE_UNLIKE = 2048, 273
 #: Rounds in which each bucket's groups are held against one drawn member.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 1
+#: Nodes that a task's union-find holds at most; beyond, what it knows goes out as links.
+FOREST_NODES = 600_000
 #: Ids that are broadcast at most (8 bytes each).
 BROADCAST_IDS = 1_000_000
 
@@ -101,6 +106,29 @@ def super_minhash(elements: np.ndarray, first: np.ndarray, m: int = COMPONENTS)
     return signature.reshape(n, m)
 
 
+def fine_sketches(docs: DataFrame, width: int, m: int = FINE_COMPONENTS) -> DataFrame:
+    """id and f_0, f_1, ... (64 bits each) of docs (id, held): a bit for each of m components."""
+    names = [f"f_{i}" for i in range(m // 64)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in chunks(batch.column(1)):
+                elements, first = shingle_hashes(data, offsets, width)
+                for a, b in _pieces(elements, first, 10_000):
+                    sign = super_minhash(elements[first[a] : first[b]], first[a : b + 1] - first[a], m)
+                    bits = np.packbits((mix(sign) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo + a, b - a), *(pa.array(np.ascontiguousarray(x)) for x in bits.T)], names=["id", *names])
+
+    return in_arrow(docs, work, "id long, " + ", ".join(f"{x} long" for x in names))
+
+
+def _texts(docs: DataFrame, ids: DataFrame, id_col: str, text: str) -> DataFrame:
+    """id and held (the text) of the documents in ids, written.  ids are broadcast when a count shows that they are few."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("held"))
+    few = ids.count() <= BROADCAST_IDS
+    return stored(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "texts")
+
+
 def _pieces(elements: np.ndarray, first: np.ndarray, limit: int = 100_000) -> Iterator[tuple[int, int]]:
     lo, n = 0, len(first) - 1
     while lo < n:
@@ -140,19 +168,16 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text", widt
                     yield pa.RecordBatch.from_arrays([ids.slice(lo + a, b - a), pa.array(sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), lists, pa.array(sketch[:, 0]), pa.array(sketch[:, 1])], schema=out)
 
     out = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch_0", pa.int64()), ("sketch_1", pa.int64())])
-    return docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(work, schema)
+    return in_arrow(docs.select(F.col(id_col).cast("long"), F.col(text)), work, schema)
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
     """pairs (a, b) with the similarity of their full sets, written to the scratch folder.
 
-    Only texts of documents in pairs move.  Their ids are broadcast when a count shows
-    that they are few, and joined by a shuffle otherwise.
+    Only texts of documents in pairs move.
     """
     ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "paired")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("held"))
-    few = ids.count() <= BROADCAST_IDS
-    texts = stored(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "texts")
+    texts = _texts(docs, ids, id_col, text)
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("held").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("held").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +197,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, width: in
                     similarity[i] = common / max(1, len(one) + len(two) - common)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similarity)], names=["a", "b", "similarity"])
 
-    found = both.mapInArrow(work, "a long, b long, similarity double")
+    found = in_arrow(both, work, "a long, b long, similarity double")
     return stored(found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "judged")
 
 
@@ -200,20 +225,25 @@ def _forest(links: DataFrame) -> DataFrame:
                 x, y = root(x), root(y)
                 if x != y:
                     parent[max(x, y)] = min(x, y)
-            if len(parent) > 500_000:  # a bound on memory: what is known goes out, and more follows
+            if len(parent) > FOREST_NODES:  # a bound on memory: what is known goes out, and more follows
                 yield flush()
         yield flush()
 
     return links.select("a", "b").mapInPandas(work, "a long, b long")
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, max_rounds: int = 60, one_task: int = FOREST_NODES // 2) -> DataFrame:
     """(id, root): the smallest id that links reach, for every id in a link.
 
-    Alternating star rounds over spanning forests.  A hot node's links are reduced
-    with partial minima, and joined back by joins that Spark may split.
+    Every partition's links become a spanning forest.  Forests that a count shows to
+    have at most one_task links are joined by union-find in one task; larger ones by
+    alternating star rounds, where a hot node's links are reduced with partial minima
+    and joined back by joins that Spark may split.
     """
     edges = stored(_forest(links), "forest")
+    if edges.count() <= one_task:
+        edges = stored(_forest(edges.coalesce(1)), "forest")
+        max_rounds = 0
     for _ in range(max_rounds):
         # Large star: neighbours greater than a node are linked to its least neighbour.
         near = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -230,7 +260,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if open_ends.filter("n > 1 or (n > 0 and r > 0)").isEmpty():
             break
     else:
-        raise RuntimeError("components did not settle")
+        if max_rounds:
+            raise RuntimeError("components did not settle")
     return edges.select(F.col("b").alias("id"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct())
 
 
@@ -253,6 +284,7 @@ def _tagged(members: DataFrame, groups: DataFrame) -> DataFrame:
     """members of those buckets that hold several groups, with their root and their centre's."""
     tagged = members.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = tagged.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    mixed = stored(mixed, "mixed")
     centers = groups.select(F.col("id").alias("center"), F.col("root").alias("center_root"))
     return tagged.join(mixed, "key", "left_semi").join(centers, "center", "left").withColumn("center_root", F.coalesce("center_root", "center"))
 
@@ -270,7 +302,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     buckets = reps.select(F.explode("bands").alias("key"), "id", "n_shingles", "sketch_0", "sketch_1")
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n_shingles", "sketch_0", "sketch_1")).alias("c")).filter("size > 1")
     shared = shared.select("key", F.col("c.id").alias("center"), F.col("c.n_shingles").alias("center_n"), F.col("c.sketch_0").alias("center_0"), F.col("c.sketch_1").alias("center_1"))
-    members = stored(buckets.join(shared, "key"), "members")
+    # Written, so that both sides of the join are plain exchanges, of which Spark splits the skewed.
+    members = stored(buckets.join(stored(shared, "shared"), "key"), "members")
     first = members.filter((F.col("id") != F.col("center")) & _possible("n_shingles", "center_n", "sketch", "center", percent)).select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
     judged = _verify(stored(first, "pairs"), docs, id_col, text, width)
     alike = F.col("similarity") >= percent / 100
@@ -288,7 +321,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         drawn = F.xxhash64(F.lit(r), "id")
         pivots = tagged.groupBy("key").agg(F.min(F.struct(drawn.alias("o"), "id", "n_shingles", "sketch_0", "sketch_1", "root")).alias("p"))
         pivots = pivots.select("key", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("id", "n_shingles", "sketch_0", "sketch_1", "root")])
-        pairs = tagged.join(pivots, "key").filter((F.col("root") != F.col("p_root")) & _possible("n_shingles", "p_n_shingles", "sketch", "p_sketch", percent))
+        pairs = tagged.join(stored(pivots, "pivots"), "key").filter((F.col("root") != F.col("p_root")) & _possible("n_shingles", "p_n_shingles", "sketch", "p_sketch", percent))
         pairs = stored(pairs.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
@@ -299,15 +332,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     # What is still in different groups of a bucket: every such pair that no filter rules out.
     tagged = _tagged(members, groups).join(judged.select(F.col("a").alias("center"), F.col("b").alias("id"), "similarity"), ["center", "id"], "left")
     tagged = tagged.withColumn("near", F.when(F.col("id") == F.col("center"), 1.0).otherwise(F.col("similarity"))).withColumn("main", F.col("root") == F.col("center_root"))
-    tagged = stored(tagged.drop("center", "center_root", "similarity"), "tagged")
-    odd = tagged.filter("not main").select("key", *[F.col(c).alias(f"u_{c}") for c in ("id", "n_shingles", "sketch_0", "sketch_1", "root", "near")])
-    # Jaccard distance is a metric: a pair whose distances to one centre differ by more than the threshold's can't be linked.
-    apart = F.coalesce(F.abs(F.col("near") - F.col("u_near")) > 1 - percent / 100 + 1e-9, F.lit(False))
-    once = F.col("main") | (F.col("u_id") < F.col("id"))
-    rest = tagged.join(odd, "key").filter((F.col("root") != F.col("u_root")) & once & _possible("n_shingles", "u_n_shingles", "sketch", "u_sketch", percent) & ~apart)
-    rest = stored(rest.select(F.least("id", "u_id").alias("a"), F.greatest("id", "u_id").alias("b")).distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        groups = _joined(groups, _verify(rest, docs, id_col, text, width).filter(alike).select("a", "b"))
+    tagged = stored(tagged.select("key", "id", "n_shingles", "root", "near", "main"), "tagged")
+    if not tagged.isEmpty():
+        fine = stored(fine_sketches(_texts(docs, stored(tagged.select("id").distinct(), "odd"), id_col, text), width).dropDuplicates(["id"]), "fine")
+        bits = [c for c in fine.columns if c != "id"]
+        known = filled.select("id", "bands").join(fine, "id").dropDuplicates(["id"])
+        tagged = stored(tagged.join(stored(known, "known"), "id"), "fine_tagged")
+        odd = tagged.filter("not main").select("key", *[F.col(c).alias(f"u_{c}") for c in ("id", "n_shingles", "root", "near", "bands", *bits)])
+        # Jaccard distance is a metric: a pair whose distances to one centre differ by more than the threshold's can't be linked.
+        apart = F.coalesce(F.abs(F.col("near") - F.col("u_near")) > 1 - percent / 100 + 1e-9, F.lit(False))
+        once = F.col("main") | (F.col("u_id") < F.col("id"))
+        sizes = 100 * F.least("n_shingles", "u_n_shingles") >= percent * F.greatest("n_shingles", "u_n_shingles")
+        unlike = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"u_{c}"))) for c in bits[1:]), F.bit_count(F.col(bits[0]).bitwiseXOR(F.col(f"u_{bits[0]}"))))
+        # A pair counts in the first of the buckets that it shares.
+        shared_bands = F.filter(F.zip_with("bands", "u_bands", lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull())
+        rest = tagged.join(odd, "key").filter((F.col("root") != F.col("u_root")) & once & sizes & ~apart & (unlike <= FINE_UNLIKE) & (shared_bands[0] == F.col("key")))
+        rest = stored(rest.select(F.least("id", "u_id").alias("a"), F.greatest("id", "u_id").alias("b")).distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
+        if not rest.isEmpty():
+            groups = _joined(groups, _verify(rest, docs, id_col, text, width).filter(alike).select("a", "b"))
     member = signed.select("id", "n_shingles", "set_a", "set_b").join(classes, ["n_shingles", "set_a", "set_b"], "left")
     member = member.join(groups.select(F.col("id").alias("class_id"), "root"), "class_id", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "class_id", "id")).otherwise(F.col("id"))
