@@ -111,7 +111,8 @@ def _scanned(docs: DataFrame, text: str, ledger: BlobLedger | None, rules: tuple
     ledger = ledger or BlobLedger(spark, f"{scratch_dir(spark)}/tracemill/ledger-{uuid.uuid4().hex}")
     whole = F.coalesce(F.col(text), F.lit(""))
     found = ledger.scan_unseen(docs.select(F.sha2(whole, 256).alias("blob"), whole.alias("text")), rules, version)
-    return found.select("blob", "findings")
+    # Written, so that a join with it is one of plain exchanges, of which Spark splits the skewed.
+    return stored(found.select("blob", "findings"), "findings")
 
 
 def find_secrets(docs: DataFrame, text: str = "text", ledger: BlobLedger | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Powers, chunks, mix, stored, words_of
+from .common import Powers, chunks, in_arrow, mix, stored, words_of
 
 #: Words in the part of a window that can be its anchor.
 SEED = 15
@@ -109,7 +109,7 @@ def anchored_runs(docs: DataFrame, window: int) -> DataFrame:
                 ids = batch.column(0).slice(lo, hi - lo).take(pa.array(found["text"]))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(found["start"], pa.int32()), pa.array(found["windows"], pa.int32()), *(pa.array(found[c]) for c in names[2:])], names=["id", *names])
 
-    return docs.mapInArrow(work, "id long, start int, windows int, anchor long, span_a long, span_b long")
+    return in_arrow(docs, work, "id long, start int, windows int, anchor long, span_a long, span_b long")
 
 
 def _only(docs: DataFrame, ids: DataFrame, few: bool, how: str) -> DataFrame:
@@ -140,14 +140,15 @@ def _windows(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
                 ids = batch.column(0).slice(lo, hi - lo).take(pa.array(of))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(at, pa.int32()), pa.array(one.of(begin, begin + window).astype(np.int64)), pa.array(two.of(begin, begin + window).astype(np.int64))], names=["id", "start", "a", "b"])
 
-    return held.mapInArrow(work, "id long, start int, a long, b long")
+    return in_arrow(held, work, "id long, start int, a long, b long")
 
 
 def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """id, starts and windows (arrays): the runs of windows of docs (id, text) that an earlier document has too."""
     runs = stored(anchored_runs(docs.filter("id is not null"), window), "runs")
     shared = runs.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").drop("high")
-    runs = stored(runs.join(shared, "anchor"), "shared")
+    # Written, so that both sides of the join are plain exchanges, of which Spark splits the skewed.
+    runs = stored(runs.join(stored(shared, "anchors"), "anchor"), "shared")
     spans = stored(runs.groupBy("anchor", "span_a", "span_b", "low").agg(F.min("id").alias("first_id")), "spans")
     runs = stored(runs.drop("low").join(spans.drop("low"), ["anchor", "span_a", "span_b"]).select("id", "start", "windows", "anchor", (F.col("id") > F.col("first_id")).alias("whole")), "extended")
     whole = runs.filter("whole").select("id", "start", "windows")
@@ -156,7 +157,7 @@ def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     odd = runs.filter("not whole").join(mixed, "anchor", "left_semi").select("id", "start", "windows")
     windows = stored(_windows(docs, odd, window), "windows")
     lows = windows.groupBy("a", "b").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("first_id < last_id").drop("last_id")
-    single = windows.join(lows, ["a", "b"]).filter("id > first_id").select("id", "start", F.lit(1).alias("windows"))
+    single = windows.join(stored(lows, "lows"), ["a", "b"]).filter("id > first_id").select("id", "start", F.lit(1).alias("windows"))
     return whole.union(single).groupBy("id").agg(F.collect_set(F.struct("start", "windows")).alias("runs")).select("id", F.col("runs.start").alias("starts"), F.col("runs.windows").alias("windows"))
 
 
@@ -194,6 +195,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(gone, pa.int64())], names=["row", "text", "n_removed"])
 
     order = [F.col(f"row.`{c}`") if c != text else F.col("text").alias(text) for c in own]
-    cut = touched.mapInArrow(work, schema).select(*order, "n_removed")
+    cut = in_arrow(touched, work, schema).select(*order, "n_removed")
     same = _only(keyed, found.select("id"), few, "left_anti").select(*order, F.lit(0).cast("long").alias("n_removed"))
     return same.union(cut)
