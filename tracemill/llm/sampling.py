@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, chunks, mix
+from .common import Words, chunks, in_arrow, mix
 
-#: Text that is worked on at once: the more, the fewer words are new.
-SAMPLE_CHUNK = 4 << 20
+#: Text that is worked on at once: the more, the fewer words are new, and the more memory a lattice takes.
+SAMPLE_CHUNK = 640 << 10
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[32] = True
 
@@ -127,9 +127,9 @@ class Lattice:
             length += 1
             piece = np.where(state >= 0, trie.end[state], -1)
             hit = piece >= 0
-            starts.append(start[hit])
-            lengths.append(np.full(int(hit.sum()), length))
-            pieces.append(piece[hit])
+            starts.append(start[hit].astype(np.int32))
+            lengths.append(np.full(int(hit.sum()), length, dtype=np.int32))
+            pieces.append(piece[hit].astype(np.int32))
             more = (state >= 0) & (offset[start] + length < size[of[start]])
             whole = hit & np.where(more, lead[np.minimum(start + length, len(lead) - 1)], True)
             if length <= 4:
@@ -139,14 +139,15 @@ class Lattice:
         # Bytes of characters without a piece of their own.
         owner = np.maximum.accumulate(np.where(lead, np.arange(len(byte)), 0))
         lone = np.flatnonzero(~single[owner])
-        starts.append(lone)
-        lengths.append(np.ones(len(lone), dtype=np.int64))
-        pieces.append(trie.byte_id[byte[lone]])
+        starts.append(lone.astype(np.int32))
+        lengths.append(np.ones(len(lone), dtype=np.int32))
+        pieces.append(trie.byte_id[byte[lone]].astype(np.int32))
         at, n, piece = np.concatenate(starts), np.concatenate(lengths), np.concatenate(pieces)
-        source = base[of[at]] + offset[at]
+        del starts, lengths, pieces
+        source = (base[of[at]] + offset[at]).astype(np.int32)
         target = source + n
-        depth = offset[at] + n
-        order = np.lexsort((target, depth))
+        depth = offset[at].astype(np.int32) + n
+        order = np.lexsort((target, depth)).astype(np.int32)
         source, target, piece, depth = source[order], target[order], piece[order], depth[order]
         gain = -alpha * trie.cost[piece]
         log = np.full(base[-1], -np.inf)
@@ -240,7 +241,7 @@ def sample_pieces(docs: DataFrame, model_path: str, key: str = "doc_id", text: s
                 ids = [packed[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).select(names).columns, pa.array(ids, pa.binary())], names=[*names, "ids"])
 
-    return docs.select(*names, text, F.xxhash64(F.lit(seed), F.col(key)).alias("sample_seed")).mapInArrow(work, schema)
+    return in_arrow(docs.select(*names, text, F.xxhash64(F.lit(seed), F.col(key)).alias("sample_seed")), work, schema)
 
 
 def _run_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -265,4 +266,4 @@ def decode_pieces(encoded: DataFrame, model_path: str, ids: str = "ids", text: s
                     yield pa.RecordBatch.from_arrays([*batch.slice(lo, len(texts)).select(names).columns, pa.array(texts, pa.string())], names=[*names, text])
                     texts, lo, held = [], i + 1, 0
 
-    return encoded.select(*names, ids).mapInArrow(work, schema)
+    return in_arrow(encoded.select(*names, ids), work, schema)
