@@ -16,7 +16,7 @@ from .minhash import near_duplicates
 from .packing import pack_pieces, tokenize_pieces
 from .quality import fit_quality, judged, quality_features
 from .sampling import decode_pieces, sample_pieces
-from .secret_scan import BASE_KINDS, find_secrets, joined_spans, of_kind
+from .secret_scan import BASE_KINDS, RULES, find_secrets, joined_spans, of_kind
 from .substrings import remove_repeats
 from .warc import resolve_revisits
 
@@ -113,7 +113,66 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc_revisits": op9_warc_revisits,
     "op10_sentencepiece": op10_sentencepiece,
 }
+
+def _secret_sql() -> str:
+    """Each rule's gaps and matches in turn, their running lengths, and the digest columns."""
+    texts = "t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents)"
+    each = []
+    for place, rule in enumerate(RULES):
+        pattern = rule.pattern.replace("'", "''")
+        size = f"length(regexp_extract(m[i], '{pattern}', {rule.group}))"
+        each.append(f"""SELECT r, '{rule.kind}' AS kind, {place} AS place, b, b + length(m[i]) AS e FROM (
+            SELECT *, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS b FROM (
+                SELECT *, unnest(generate_series(1, len(m))) AS i FROM (
+                    SELECT r, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS g FROM t) WHERE len(m) > 0)) WHERE {size} >= {rule.least}""")
+    base = ", ".join(f"'{k}'" for k in BASE_KINDS)
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE_KINDS)
+    span = "kind || ':' || b || ':' || e"
+    return f"""WITH {texts}, f AS ({' UNION ALL '.join(each)})
+        SELECT doc_id, {counts}, sha256(coalesce(string_agg({span}, ',' ORDER BY b, place) FILTER (kind IN ({base})), '')) AS base_sha256,
+            coalesce(string_agg({span}, ',' ORDER BY b, place), '') AS spans
+        FROM t LEFT JOIN f USING (r) GROUP BY r, doc_id"""
+
+
 SQL: dict[str, str] = {
+    "op2_substring_dedup": r"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ), h AS (
+            SELECT doc_id, s, md5(array_to_string(ws[s:s + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 49)) AS s FROM w WHERE len(ws) >= 50)
+        ), low AS (
+            SELECT h, min(doc_id) AS m FROM h GROUP BY 1
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(generate_series(s, s + 49)) AS i FROM h JOIN low USING (h) WHERE m < doc_id
+        ), x AS (
+            SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w
+        ), k AS (
+            SELECT x.doc_id, count(*) FILTER (gone.i IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY x.i) FILTER (gone.i IS NULL) AS kept
+            FROM x LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.i = x.i GROUP BY 1
+        )
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+    """,
+    "op5_minhash_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ), sh AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 1 THEN ws ELSE list_transform(generate_series(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS s FROM w
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM sh GROUP BY 1
+        ), c AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+        ), l AS (
+            SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)
+        ), e AS (
+            SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+        ), r AS (
+            SELECT doc_id AS id, doc_id AS x FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON r.x = e.a
+        ), m AS (
+            SELECT id, min(x) AS component_id FROM r GROUP BY 1
+        )
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN m ON m.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+    """,
+    "op6_secret_scans": _secret_sql(),
     "op7_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
