@@ -21,7 +21,7 @@ NOW = "2024-01-31 00:00:00"
 
 
 def subagent_time_window(spark: SparkSession, d: str) -> DataFrame:
-    s = session_bounds(events(spark, d).filter("k < 20")).withColumn("project", F.col("session_id") % 10)
+    s = session_bounds(events(spark, d)).withColumn("project", F.col("session_id") % 10)
     return J.enclosing_parent(s, "project", "session_id", "started_at", "ended_at", F.col("session_id") % 3 == 0)
 
 
