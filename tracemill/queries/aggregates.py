@@ -143,8 +143,8 @@ def advisor_peak_hours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def advisor_low_days(spark: SparkSession, d: str) -> DataFrame:
-    by = events(spark, d).filter("k < 3").groupBy(F.weekday("event_at").cast("long").alias("weekday")).agg(F.count(F.lit(1)).alias("n"))
-    return by.orderBy("n", "weekday").limit(2)
+    by = events(spark, d).groupBy(F.weekday("event_at").cast("long").alias("weekday")).agg(F.count(F.lit(1)).alias("n"))
+    return by.orderBy("n", "weekday").limit(2).filter("n < 3")
 
 
 def advisor_downgrade(spark: SparkSession, d: str) -> DataFrame:
