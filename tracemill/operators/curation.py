@@ -25,17 +25,35 @@ PII_RULES = (
     ("ssn_us", r"\b((?!000|666|9\d{2})\d{3}-(?!00)\d{2}-(?!0000)\d{4})\b", "custom_sensitive", 0.90),
     ("phone_e164", r"(?<!\d)(\+\d{1,3}[-.\s]?\(?\d{1,4}\)?[-.\s]?\d{2,4}[-.\s]?\d{3,9})(?!\d)", "custom_sensitive", 0.55),
     ("internal_tld_host", r"(?i)\b([a-z0-9][a-z0-9-]*(?:\.[a-z0-9][a-z0-9-]*)*\.(?:local|internal|corp|lan|intranet|localnet))\b", "private_url", 0.80),
+    ("private_ip_url", r"(https?://(?:10\.\d{1,3}\.\d{1,3}\.\d{1,3}|192\.168\.\d{1,3}\.\d{1,3}|172\.(?:1[6-9]|2\d|3[01])\.\d{1,3}\.\d{1,3})(?::\d{2,5})?(?:/[^\s\"'`<>]*)?)", "private_url", 0.90),
     ("localhost_url", r"(https?://(?:localhost|127\.0\.0\.1)(?::\d{2,5})?(?:/[^\s\"'`<>]*)?)", "private_url", 0.85),
     ("npm_scoped_package", r"(?<![A-Za-z0-9])(@[a-z0-9][a-z0-9-]{1,38}/[a-z0-9][a-z0-9._-]{1,63})\b", "project_name", 0.70),
+    ("package_at_version", r"(?<![A-Za-z0-9@])([a-z][a-z0-9-]{2,}(?:/[a-z][a-z0-9-]+)?@\d+\.\d+\.\d+(?:[-+][0-9A-Za-z.-]+)?)\b", "project_name", 0.65),
+    ("github_repo_slug", r"github\.com/([A-Za-z0-9._-]{2,39}/[A-Za-z0-9._-]{1,100})(?![A-Za-z0-9])", "project_name", 0.80),
+    ("gitlab_repo_slug", r"gitlab\.com/([A-Za-z0-9._-]{2,39}(?:/[A-Za-z0-9._-]+){1,4})(?![A-Za-z0-9])", "project_name", 0.80),
+    ("bitbucket_repo_slug", r"bitbucket\.org/([A-Za-z0-9._-]{2,39}/[A-Za-z0-9._-]+)(?![A-Za-z0-9])", "project_name", 0.80),
     ("aws_arn", r"(arn:aws:[a-z0-9-]+:[a-z0-9-]*:\d{12}:[^\s\"'`<>]+)", "custom_sensitive", 0.95),
+    ("aws_account_ecr", r"\b(\d{12}\.dkr\.ecr\.[a-z0-9-]+\.amazonaws\.com)\b", "custom_sensitive", 0.95),
     ("gcp_project_id", r"projects/([a-z][a-z0-9-]{4,28}[a-z0-9])(?![A-Za-z0-9])", "project_name", 0.80),
     ("credit_card", r"(?<!\d)((?:\d[ -]?){12,18}\d)(?!\d)", "custom_sensitive", 0.60),
+    ("meta_username", r'\\?"username\\?"\s*:\s*\\?"([^"\\]{3,})\\?"', "username", 0.98),
+    ("meta_sender_id", r'\\?"sender_id\\?"\s*:\s*\\?"([^"\\]{3,})\\?"', "user_id", 0.98),
+    ("meta_user_chat_id", r'\\?"(?:user_id|chat_id|account_id|sender_id|from_id)\\?"\s*:\s*\\?"([^"\\]{3,})\\?"', "user_id", 0.95),
+    ("meta_numeric_id", r'\\?"id\\?"\s*:\s*\\?"(\d{5,})\\?"', "user_id", 0.75),
+    ("meta_name", r'\\?"name\\?"\s*:\s*\\?"([^"\\]{3,})\\?"', "person_name", 0.82),
+    ("meta_sender", r'\\?"sender\\?"\s*:\s*\\?"([^"\\]{3,})\\?"', "person_name", 0.82),
+    ("meta_label", r'\\?"label\\?"\s*:\s*\\?"([^"\\]{3,})\\?"', "person_name", 0.75),
 )
+#: Rules that name an account on GitHub, and the public organisations that they skip.
+GITHUB_RULES = ("github_url_username", "github_raw_url_username", "github_repo_slug")
+PUBLIC_ORGS = frozenset("anthropics anthropic openai google microsoft meta facebook aws hashicorp vercel supabase huggingface pytorch tensorflow golang rust-lang python nodejs actions github cli docker kubernetes helm npm homebrew apache mozilla jetbrains gradle maven".split())
 EMAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
-def skipped(found: str, kind: str) -> bool:
-    """Too short, a placeholder in brackets, or a sender that isn't a person."""
+def skipped(found: str, kind: str, rule: str) -> bool:
+    """Too short, a placeholder in brackets, a public organisation, or a sender that isn't a person."""
+    if rule in GITHUB_RULES and found.lower() in PUBLIC_ORGS:
+        return True
     return len(found) < 3 or (found.startswith("[") and found.endswith("]")) or (kind == "email" and found.lower().startswith(("noreply@", "no-reply@")))
 
 
@@ -57,7 +75,7 @@ def pii_spans(docs: DataFrame, id: str, text: str, rules: tuple = PII_RULES) ->
         for frame in frames:
             rows = []
             for key_value, value in zip(frame[id], frame[text], strict=True):
-                spans = [(m.start(1), m.end(1), sure, name, kind, m[1]) for name, rx, kind, sure in compiled for m in rx.finditer(value or "") if not skipped(m[1], kind)]
+                spans = [(m.start(1), m.end(1), sure, name, kind, m[1]) for name, rx, kind, sure in compiled for m in rx.finditer(value or "") if not skipped(m[1], kind, name)]
                 rows += [(key_value, *s) for s in without_overlaps(spans)]
             yield pd.DataFrame(rows, columns=["id", "start", "end", "confidence", "rule", "entity_type", "entity"])
 
