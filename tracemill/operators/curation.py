@@ -49,6 +49,12 @@ GITHUB_RULES = ("github_url_username", "github_raw_url_username", "github_repo_s
 PUBLIC_ORGS = frozenset("anthropics anthropic openai google microsoft meta facebook aws hashicorp vercel supabase huggingface pytorch tensorflow golang rust-lang python nodejs actions github cli docker kubernetes helm npm homebrew apache mozilla jetbrains gradle maven".split())
 EMAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
+# What explains a token of high entropy: prefixes that other scans know, hex, UUIDs, paths and dotted names;
+# and, in lower case, benign prefixes, parts and file extensions.
+EXTENSIONS = ".py .js .ts .tsx .jsx .css .html .json .yaml .yml .toml .md .rst .txt .sh .go .rs .java .rb .php .c .h .cpp .hpp .swift .kt .lock .cfg .ini .xml .svg .png .jpg .gif .woff .ttf .map .vue .scss .less .sql .env .log".split()
+BENIGN_TOKEN = r"^(?:eyJ|ghp_|gho_|ghs_|ghr_|sk-|hf_|AKIA|pypi-|npm_|xox)|^[0-9a-fA-F]+$|^[0-9a-fA-F]{8}(?:-?[0-9a-fA-F]{4}){3}-?[0-9a-fA-F]{12}$|/.*/|[.].*[.].*[.]"
+BENIGN_PART = r"^(?:https?://|sha(?:1|256|384|512)-|data:|file://|mailto:)|node_modules|package-lock|webpack|babel|eslint|[.]chunk[.]|vendor/|dist/|build/|" + "|".join(map(re.escape, EXTENSIONS))
+
 
 def skipped(found: str, kind: str, rule: str) -> bool:
     """Too short, a placeholder in brackets, a public organisation, or a sender that isn't a person."""
@@ -118,12 +124,14 @@ def redacted(text: Column, patterns: dict[str, str], domains: tuple[str, ...] =
 
 
 def entropy_candidates(docs: DataFrame, id: str, text: str, least: int = 20, bits: float = 4.0, top: int = 15) -> DataFrame:
-    """id, token, entropy: the top tokens of a text by entropy, of least characters and of letters and digits both."""
-    tokens = docs.select(F.col(id), F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[A-Za-z0-9_+/=-]{%d,}" % least), F.lit(0)))).alias("token"))
-    mixed = F.regexp_like("token", F.lit("[A-Za-z]")) & F.regexp_like("token", F.lit("[0-9]"))
+    """id, token, entropy, place: the top tokens of a text by entropy, of least characters, of upper case, lower case and digits, that nothing benign explains."""
+    tokens = docs.select(F.col(id), F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[A-Za-z0-9_/+=.-]{%d,}" % least), F.lit(0)))).alias("token"))
+    # All filters come before the rank, so that the top holds candidates only.
+    benign = F.regexp_like("token", F.lit(BENIGN_TOKEN)) | F.regexp_like(F.lower("token"), F.lit(BENIGN_PART))
+    mixed = F.regexp_like("token", F.lit("[A-Z]")) & F.regexp_like("token", F.lit("[a-z]")) & F.regexp_like("token", F.lit("[0-9]"))
     chars = F.split("token", "")
     share = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda d: d == c)) / F.length("token"))
-    scored = tokens.filter(mixed).withColumn("entropy", F.aggregate(share, F.lit(0.0), lambda a, p: a - p * F.log2(p)))
+    scored = tokens.filter(~benign & mixed).withColumn("entropy", F.aggregate(share, F.lit(0.0), lambda a, p: a - p * F.log2(p)))
     from pyspark.sql.window import Window
 
     rank = F.row_number().over(Window.partitionBy(id).orderBy(F.desc("entropy"), "token"))
