@@ -19,19 +19,25 @@ def enclosing_parent(sessions: DataFrame, group: str, id: str, start: str, end:
     return best.select("id", F.col("b.parent_id").alias("parent_id"))
 
 
-def hierarchy_roots(nodes: DataFrame, id: str, parent: str, max_depth: int = 64) -> DataFrame:
-    """id, root, depth of every node; a node whose parent is missing is a root, and a cycle's nodes have none.
+def hierarchy_roots(nodes: DataFrame, id: str, parent: str) -> DataFrame:
+    """id, root, depth of every node; a node whose parent is missing is a root, and nodes that lead to a cycle have none.
 
-    Paths double in every step, so depth d takes log2(d) joins.
+    Paths double in every step, so depth d takes log2(d) joins.  A step settles the depths from 2^k to 2^(k+1) - 1;
+    where it settles none there is no deeper node, and what is left leads to a cycle.
     """
     known = nodes.select(F.col(id).alias("k"))
     up = nodes.select(F.col(id).alias("id"), F.col(parent).alias("p")).join(known, F.col("p") == F.col("k"), "left")
-    state = up.select("id", F.coalesce("k", "id").alias("top"), F.when(F.col("k").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("k").isNull().alias("done"))
-    step = 1
-    while step < max_depth:
+    state = up.select("id", F.coalesce("k", "id").alias("top"), F.when(F.col("k").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("k").isNull().alias("done")).localCheckpoint()
+    left = state.filter("not done").count()
+    for _ in range(state.count().bit_length()):
+        if not left:
+            break
         nxt = state.select(F.col("id").alias("top"), F.col("top").alias("t2"), F.col("depth").alias("d2"), F.col("done").alias("n2"))
-        state = state.join(nxt, "top", "left").select("id", F.coalesce("t2", "top").alias("top"), (F.col("depth") + F.when(F.col("done"), 0).otherwise(F.coalesce("d2", F.lit(0)))).alias("depth"), (F.col("done") | F.coalesce("n2", F.lit(True))).alias("done"))
-        step *= 2
+        # Written in every step: each uses the one before twice, so the plan would double too.
+        state = state.join(nxt, "top", "left").select("id", F.coalesce("t2", "top").alias("top"), (F.col("depth") + F.when(F.col("done"), 0).otherwise(F.coalesce("d2", F.lit(0)))).alias("depth"), (F.col("done") | F.coalesce("n2", F.lit(True))).alias("done")).localCheckpoint()
+        before, left = left, state.filter("not done").count()
+        if left == before:
+            break
     return state.select("id", F.when(F.col("done"), F.col("top")).alias("root"), F.when(F.col("done"), F.col("depth")).alias("depth"))
 
 
