@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .common import chunks, in_arrow, lowered, mix
 
 BUCKETS = 4096
-#: Labelled rows, about, that weigh the bits; the n-gram counts come from all labelled rows.
+#: Labelled rows at most that weigh the bits; the n-gram counts come from all labelled rows.
 CALIBRATION_ROWS = 4096
 UNKNOWN = "und"
 #: n-grams at which a text's margins count half.
@@ -119,9 +119,24 @@ def _language_counts(rows: DataFrame) -> dict[str, np.ndarray]:
     return {r["lang"]: np.array(r["n"], dtype=np.float64) / 1e6 for r in packed}
 
 
-def fit_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", calibration_rows: int = CALIBRATION_ROWS) -> LanguageModel:
+def _calibration_sample(rows: DataFrame, limit: int) -> DataFrame:
+    """limit of rows (id, text, lang) at most, those with the smallest hashes; copies of a text under other ids are drawn each for itself."""
+    drawn = rows.withColumn("drawn", F.xxhash64("id", "text", "lang"))
+    # About 2 * limit rows stay before the order, so that what it gathers doesn't grow with the rows.
+    near = drawn.filter(F.pmod("drawn", F.lit(max(1, rows.count() // (2 * limit)))) == 0)
+    least = [r["drawn"] for r in near.select("drawn").orderBy("drawn").limit(limit + 1).collect()]
+    if len(least) <= limit:
+        return near
+    last = least[limit - 1]
+    if least[limit] != last:
+        return near.filter(F.col("drawn") <= last)
+    # The last place falls among repeated rows of one id: as many of them as there is room for.
+    return near.filter(F.col("drawn") < last).union(near.filter(F.col("drawn") == last).limit(least[:limit].count(last)))
+
+
+def fit_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", calibration_rows: int = CALIBRATION_ROWS, id_col: str = "doc_id") -> LanguageModel:
     """The model of all rows with a label; calibration_rows bounds the sample that weighs the bits."""
-    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null")
+    rows = labelled.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null")
     counts = _language_counts(rows)
     languages = sorted(counts)
     code = codebook(len(languages))
@@ -149,9 +164,7 @@ def fit_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", c
                 number += hi - lo
         yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([right.tolist()]), pa.array([size.tolist()])], names=["n", "right", "size"])
 
-    total = rows.count()
-    kept = max(1, math.ceil(total / calibration_rows))
-    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(kept)) == 0)
+    sample = _calibration_sample(rows, calibration_rows).select("text", "lang")
     found = in_arrow(sample, judge, "n long, right array<double>, size array<double>")
     sums = found.agg(F.sum("n").alias("n"), *[F.sum(F.col(c)[b]).alias(f"{c}{b}") for c in ("right", "size") for b in range(bits)]).first()
     n = sums["n"] or 0
