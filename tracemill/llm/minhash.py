@@ -19,7 +19,8 @@ chance 3e-7) or the distances of both to the centre (Jaccard distance is a metri
 rule a link out.  No bucket is capped and every candidate pair is either
 judged or inside one group.
 
-With 32 bands of 4 a pair at similarity 0.8 is missed with chance 5e-8.
+With 32 bands of 4 a pair at similarity 0.8 is missed with chance 5e-8; a lower
+threshold has bands of fewer rows and wider sketch limits.
 
 Defined results: null and empty texts have the empty set and are linked with
 nothing; repeated rows of one id count as one document; a null id is a document of
@@ -28,6 +29,7 @@ its own without links; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,10 +42,10 @@ from pyspark.sql import types as T
 from .common import chunks, in_arrow, lowered, mix, stored, words_of
 
 COMPONENTS, BAND_ROWS = 128, 4
-#: Most bits of two sketches that may differ.
-MOST_UNLIKE = 32
-#: Components, and so bits, of the sketches that rule out the last cross pairs, and the most of them that may differ.
-FINE_COMPONENTS, FINE_UNLIKE = 2048, 273
+#: Components, and so bits, of the sketches that rule out the last cross pairs.
+FINE_COMPONENTS = 2048
+#: Chances, at most, that banding and that a sketch (by independent bits) miss a pair at the threshold.
+BANDS_MISS, SKETCH_MISS = 1e-7, 7e-7
 #: Rounds in which each bucket's groups are held against one drawn member.
 PIVOT_ROUNDS = 1
 #: Nodes that a task's union-find holds at most; beyond, what it knows goes out as links.
@@ -52,6 +54,24 @@ FOREST_NODES = 600_000
 BROADCAST_IDS = 1_000_000
 
 
+def band_rows(percent: int, m: int = COMPONENTS, most: int = BAND_ROWS) -> int:
+    """Rows of a band, up to most, with which m components miss a pair of that similarity with chance BANDS_MISS at most."""
+    for rows in range(most, 0, -1):
+        if m % rows == 0 and (1 - (percent / 100) ** rows) ** (m // rows) <= BANDS_MISS:
+            return rows
+    raise ValueError(f"{m} components can't find pairs at {percent} percent")
+
+
+def most_unlike(percent: int, bits: int) -> int:
+    """Most bits of two sketches that may differ: a pair of that similarity passes it with chance SKETCH_MISS at most; 80 counts for all above."""
+    p, chance = (1 - min(percent, 80) / 100) / 2, 0.0
+    for k in range(bits, -1, -1):
+        chance += math.exp(math.lgamma(bits + 1) - math.lgamma(k + 1) - math.lgamma(bits - k + 1) + k * math.log(p) + (bits - k) * math.log1p(-p))
+        if chance > SKETCH_MISS:
+            return k
+    return 0
+
+
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """64-bit fingerprints of the shingles of each text, and each text's first one; a text of fewer words is one shingle."""
     words = words_of(lowered(data), offsets)
@@ -271,8 +291,8 @@ def _unlike(a: str, b: str) -> Column:
 
 
 def _possible(n_a: str, n_b: str, sketch_a: str, sketch_b: str, percent: int) -> Column:
-    """The size filter, and the sketch filter: at similarity 0.8 over 32 of 128 bits differ with chance 1e-7."""
-    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (_unlike(sketch_a, sketch_b) <= MOST_UNLIKE)
+    """The size filter, and the sketch filter of 128 bits: at similarity 0.8 over 32 of them differ with chance 1e-7."""
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (_unlike(sketch_a, sketch_b) <= most_unlike(percent, 128))
 
 
 def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -289,12 +309,14 @@ def _tagged(members: DataFrame, groups: DataFrame) -> DataFrame:
     return tagged.join(mixed, "key", "left_semi").join(centers, "center", "left").withColumn("center_root", F.coalesce("center_root", "center"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, m: int = COMPONENTS, rows: int = BAND_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, m: int = COMPONENTS, rows: int | None = None) -> DataFrame:
     """id, n_shingles, component_id and kept for every document of docs.
 
     component_id is the smallest id that links of 100 * intersection >= percent *
-    union reach; kept says that it is the document's own.
+    union reach; kept says that it is the document's own.  Bands (of as many rows as percent
+    allows, if rows is None) and sketch limits follow percent; one too low for m raises ValueError.
     """
+    rows = band_rows(percent, m) if rows is None else rows
     signed = stored(signatures(docs, id_col, text, width, m, rows), "signatures")
     filled = signed.filter("n_shingles > 0 and id is not null")
     classes = stored(filled.groupBy("n_shingles", "set_a", "set_b").agg(F.min("id").alias("class_id")), "classes")
@@ -346,7 +368,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         unlike = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"u_{c}"))) for c in bits[1:]), F.bit_count(F.col(bits[0]).bitwiseXOR(F.col(f"u_{bits[0]}"))))
         # A pair counts in the first of the buckets that it shares.
         shared_bands = F.filter(F.zip_with("bands", "u_bands", lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull())
-        rest = tagged.join(odd, "key").filter((F.col("root") != F.col("u_root")) & once & sizes & ~apart & (unlike <= FINE_UNLIKE) & (shared_bands[0] == F.col("key")))
+        rest = tagged.join(odd, "key").filter((F.col("root") != F.col("u_root")) & once & sizes & ~apart & (unlike <= most_unlike(percent, FINE_COMPONENTS)) & (shared_bands[0] == F.col("key")))
         rest = stored(rest.select(F.least("id", "u_id").alias("a"), F.greatest("id", "u_id").alias("b")).distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
         if not rest.isEmpty():
             groups = _joined(groups, _verify(rest, docs, id_col, text, width).filter(alike).select("a", "b"))
