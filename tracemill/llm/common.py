@@ -8,20 +8,27 @@ size, not by the batch, partition or document count.
 
 from __future__ import annotations
 
+import atexit
+import hashlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once (a longer text is a chunk alone).
 CHUNK_BYTES = 512 << 10
 #: Rows of a batch that goes to Python at most: a bound on memory where texts are long.
 BATCH_ROWS = 1000
+#: Bytes up to which a word's fingerprint is a polynomial.
+LONG_WORD = 200
 #: ASCII white space: the separators of words.
 SPACE_BYTES = (9, 10, 11, 12, 13, 32)
 
@@ -39,24 +46,67 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A folder that driver and executors share: spark.checkpoint.dir, or what the context was told.
+
+    Where neither is set, a local session, whose executors are on this machine, gets a new
+    folder that goes when the process ends; on a cluster that is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="tracemill-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        made = tempfile.mkdtemp(prefix="tracemill-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(made)
+        root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 
+_SCOPES: list[str] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path for a new scratch table, in the innermost scratch scope."""
+    return f"{_SCOPES[-1] if _SCOPES else scratch_dir(spark) + '/tracemill'}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that Spark wrote, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[str]:
+    """Scratch tables made inside go when it ends: write or collect what is to outlive it before."""
+    _SCOPES.append(f"{scratch_dir(spark)}/tracemill/scope-{uuid.uuid4().hex}")
+    try:
+        yield _SCOPES[-1]
+    finally:
+        drop_path(spark, _SCOPES.pop())
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared scratch folder and read again.
 
     Cuts the lineage: what is read later survives the loss of any executor, and
     nothing before it is computed twice.
     """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tracemill/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def field(name: str, of: str | None = None) -> Column:
+    """The column of that very name, dots and all; of: the struct that holds it."""
+    quoted = "`" + name.replace("`", "``") + "`"
+    return F.col(f"{of}.{quoted}" if of else quoted)
+
+
+def whole_row(df: DataFrame, but: tuple[str, ...] = ()) -> Column:
+    """All columns of df but some as one struct, out of the way of names that are added beside it."""
+    names = [c for c in df.columns if c not in but]
+    return F.struct(*[field(c).alias(c) for c in names]) if names else F.struct(F.lit(0).alias("none"))
 
 
 def in_arrow(df: DataFrame, work: Callable, schema: object) -> DataFrame:
@@ -125,7 +175,11 @@ class Words:
         up, down = BYTE_POWERS.upto(len(self.data) + 1)
         prefix = np.zeros(len(self.data) + 1, dtype=np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=prefix[1:])
-        return mix((prefix[self.end] - prefix[self.begin]) * down[self.begin] + (self.end - self.begin).astype(np.uint64))
+        out = mix((prefix[self.end] - prefix[self.begin]) * down[self.begin] + (self.end - self.begin).astype(np.uint64))
+        # Modulo 2**64 there are pairs of runs of 1024 bytes and more that collide for every base.
+        for i in np.flatnonzero(self.end - self.begin > LONG_WORD):
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[self.begin[i] : self.end[i]].tobytes(), digest_size=8).digest(), "little")
+        return out
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE) -> Words:

@@ -9,9 +9,9 @@ Positions without a regex engine's offsets: a text is its gaps and matches in tu
 (`split` and `regexp_extract_all` agree on what matches), so running sums of their
 lengths are the spans, in code points, end exclusive.
 
-Defined results: null counts as empty; rows repeat with their findings; a table
-without rows gives none; extra columns stay, those that clash with added ones are
-replaced; a null key is kept.
+Defined results: null counts as empty, and stays null where texts are redacted; rows
+repeat with their findings; a table without rows gives none; extra columns stay, but for
+`blob` and `findings` where these are added; a null key is kept.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, stored
+from .common import field, scratch_path, stored, whole_row
 
 
 @dataclass(frozen=True)
@@ -47,12 +47,16 @@ RULES = (
 )
 BASE_KINDS = ("assign", "access", "hex")
 RULE_VERSION = "1"
+#: Matches whose spans are gathered in one array before it is joined to the others.
+SPANS_AT_ONCE = 256
 
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """Array of (begin, end, kind's place, kind) of a rule's leftmost matches that are long enough."""
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     gaps = F.split(text, rule.pattern, -1)
+    kind = "array<struct<begin:int,end:int,place:int,kind:string>>"
+    empty = F.array().cast(kind)
 
     def step(done: Column, pair: Column) -> Column:
         begin = done["at"] + F.length(pair["gap"])
@@ -61,18 +65,24 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
         span = F.struct(begin.alias("begin"), end.alias("end"), F.lit(order).alias("place"), F.lit(rule.kind).alias("kind"))
         return F.struct(end.alias("at"), F.when(long >= rule.least, F.array_append(done["spans"], span)).otherwise(done["spans"]).alias("spans"))
 
-    kind = "array<struct<begin:int,end:int,place:int,kind:string>>"
+    def shifted(part: Column, base: Column) -> Column:
+        return F.transform(part["spans"], lambda s: F.struct((s["begin"] + base).alias("begin"), (s["end"] + base).alias("end"), s["place"].alias("place"), s["kind"].alias("kind")))
+
     pairs = F.arrays_zip(gaps.alias("gap"), matches.alias("match"))
     pairs = F.filter(pairs, lambda p: p["match"].isNotNull())  # the last gap has no match after it
-    empty = F.array().cast(kind)
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda done: done["spans"])
+    # Appending copies an array, so spans are gathered SPANS_AT_ONCE matches at a time, and then moved to their part's begin.
+    starts = F.sequence(F.lit(1), F.greatest(F.size(pairs), F.lit(1)), F.lit(SPANS_AT_ONCE))
+    parts = F.transform(starts, lambda at: F.aggregate(F.slice(pairs, at, SPANS_AT_ONCE), F.struct(F.lit(0).alias("at"), empty.alias("spans")), step))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("bases"))
+    bases = F.aggregate(parts, none, lambda done, part: F.struct((done["at"] + part["at"]).alias("at"), F.array_append(done["bases"], done["at"]).alias("bases")), lambda done: done["bases"])
+    found = F.flatten(F.zip_with(parts, bases, shifted))
     present = F.contains(text, F.lit(rule.hint)) if rule.hint else F.lit(True)
     return F.when(present & F.regexp_like(text, F.lit(rule.pattern)), found).otherwise(empty)
 
 
 def scan(blobs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """blobs with findings: array of (begin, end, place, kind) in the order of begin, then of rules."""
-    each = [_spans(F.col(text), rule, i) for i, rule in enumerate(rules)]
+    each = [_spans(field(text), rule, i) for i, rule in enumerate(rules)]
     # Sorted by begin, then place.
     by_place = F.transform(F.concat(*each), lambda s: F.struct(s["begin"].alias("begin"), s["place"].alias("place"), s["end"].alias("end"), s["kind"].alias("kind")))
     return blobs.withColumn("findings", F.array_sort(by_place))
@@ -97,20 +107,25 @@ class BlobLedger:
         One content may stand in blobs many times; it is scanned once.
         """
         known = self.read()
+        unseen = blobs
         if known is not None:
-            blobs = blobs.join(known.filter(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
-        found = scan(blobs.groupBy("blob").agg(F.first("text").alias("text")), rules=rules)
+            unseen = blobs.join(known.filter(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
+        found = scan(unseen.groupBy("blob").agg(F.first("text").alias("text")), rules=rules)
         found.select("blob", F.lit(version).alias("rule_version"), "findings").write.mode("append").parquet(self.path)
-        return self.read().filter(F.col("rule_version") == version).dropDuplicates(["blob"])
+        # Only what was asked for; a blob that two scans wrote at once counts once.
+        asked = self.read().filter(F.col("rule_version") == version)
+        if known is not None:
+            asked = asked.join(blobs.select("blob").distinct(), "blob", "left_semi")
+        return asked.dropDuplicates(["blob"])
 
 
-def _scanned(docs: DataFrame, text: str, ledger: BlobLedger | None, rules: tuple[Rule, ...], version: str) -> DataFrame:
-    import uuid
+def _blob(text: str) -> Column:
+    return F.sha2(F.coalesce(field(text), F.lit("")), 256)
 
-    spark = docs.sparkSession
-    ledger = ledger or BlobLedger(spark, f"{scratch_dir(spark)}/tracemill/ledger-{uuid.uuid4().hex}")
-    whole = F.coalesce(F.col(text), F.lit(""))
-    found = ledger.scan_unseen(docs.select(F.sha2(whole, 256).alias("blob"), whole.alias("text")), rules, version)
+
+def _scanned(docs: DataFrame, text: str, ledger: BlobLedger | None, rules: tuple[Rule, ...], version: str) -> DataFrame:
+    ledger = ledger or BlobLedger(docs.sparkSession, scratch_path(docs.sparkSession, "ledger"))
+    found = ledger.scan_unseen(docs.select(_blob(text).alias("blob"), F.coalesce(field(text), F.lit("")).alias("text")), rules, version)
     # Written, so that a join with it is one of plain exchanges, of which Spark splits the skewed.
     return stored(found.select("blob", "findings"), "findings")
 
@@ -118,17 +133,17 @@ def _scanned(docs: DataFrame, text: str, ledger: BlobLedger | None, rules: tuple
 def find_secrets(docs: DataFrame, text: str = "text", ledger: BlobLedger | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
     """docs without text, with blob and findings."""
     own = [c for c in docs.columns if c != text and c.lower() not in ("blob", "findings")]
-    paths = docs.select(*own, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("blob"))
-    return paths.join(_scanned(docs, text, ledger, rules, version), "blob").select(*own, "blob", "findings")
+    paths = docs.select(_blob(text).alias("blob"), whole_row(docs, (text,)).alias("row"))
+    return paths.join(_scanned(docs, text, ledger, rules, version), "blob").select(*[field(c, "row").alias(c) for c in own], "blob", "findings")
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", ledger: BlobLedger | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
-    """docs with each run of overlapping findings replaced by [KIND]; other texts stay as they are."""
-    whole = F.col(text)
+    """docs with each run of overlapping findings replaced by [KIND]; other texts, and all other columns, stay as they are."""
     hits = stored(_scanned(docs, text, ledger, rules, version).filter(F.size("findings") > 0), "hits")
     few = hits.count() <= BROADCAST_BLOBS
-    hits = hits.select(F.col("blob").alias("secret_blob"), F.col("findings").alias("secret_findings"))
-    joined = docs.withColumn("secret_key", F.sha2(whole, 256)).join(F.broadcast(hits) if few else hits, F.col("secret_key") == F.col("secret_blob"), "left")
+    paths = docs.select(_blob(text).alias("blob"), field(text).alias("whole"), whole_row(docs, (text,)).alias("row"))
+    joined = paths.join(F.broadcast(hits) if few else hits, "blob", "left")
+    whole = F.col("whole")
 
     def step(done: Column, s: Column) -> Column:
         begin = F.greatest(s["begin"], done["at"])
@@ -137,9 +152,9 @@ def redact_secrets(docs: DataFrame, text: str = "text", ledger: BlobLedger | Non
         mark = F.concat(F.substring(whole, done["at"] + 1, begin - done["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
         return F.struct(F.greatest(s["end"], done["at"]).alias("at"), F.when(new, F.concat(done["out"], mark)).otherwise(done["out"]).alias("out"))
 
-    cut = F.aggregate(F.col("secret_findings"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda done: F.concat(done["out"], F.substring(whole, done["at"] + 1, F.length(whole))))
-    own = [F.when(F.col("secret_findings").isNull(), whole).otherwise(cut).alias(c) if c == text else F.col(c) for c in docs.columns]
-    return joined.select(*own)
+    cut = F.aggregate("findings", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda done: F.concat(done["out"], F.substring(whole, done["at"] + 1, F.length(whole))))
+    clean = F.when(F.col("findings").isNull() | whole.isNull(), whole).otherwise(cut)
+    return joined.select(*[clean.alias(c) if c == text else field(c, "row").alias(c) for c in docs.columns])
 
 
 #: Blobs with findings that are broadcast at most (a few hundred bytes each).

@@ -18,8 +18,9 @@ windows are judged on the input.
 
 Defined results: null and empty texts have no words; texts of fewer words than a
 window keep all; documents with a null id keep all and take nothing from others;
-rows that repeat an id have to repeat its text, and keep or lose the same words;
-columns that clash with added ones are replaced.
+rows that repeat an id have to repeat its text, and keep or lose the same words; an
+empty table gives an empty result; other columns stay, whatever their names, but for one
+named like the count, which is replaced.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Powers, chunks, in_arrow, mix, stored, words_of
+from .common import Powers, chunks, field, in_arrow, mix, stored, whole_row, words_of
 
 #: Words in the part of a window that can be its anchor.
 SEED = 15
@@ -68,6 +69,12 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+def grams_of(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprints of every run of size words."""
+    at = np.arange(max(0, len(hashes) - size + 1))
+    return Rolling(hashes, _SEED_POWERS).of(at, at + size)
+
+
 def runs_of(hashes: np.ndarray, first: np.ndarray, window: int) -> dict[str, np.ndarray]:
     """Runs of windows with one anchor: text, start (word in its text), windows, anchor, span_a, span_b."""
     counts = np.diff(first)
@@ -76,8 +83,7 @@ def runs_of(hashes: np.ndarray, first: np.ndarray, window: int) -> dict[str, np.
         return {"text": none, "start": none, "windows": none, "anchor": none, "span_a": none, "span_b": none}
     of = np.repeat(np.arange(len(counts)), counts)
     seed = min(SEED, window)
-    grams = np.arange(len(hashes) - seed + 1)
-    keys = Rolling(hashes, _SEED_POWERS).of(grams, grams + seed)
+    keys = grams_of(hashes, seed)
     anchor = _least(keys, window - seed + 1)
     whole = of[: len(anchor)] == of[window - 1 :]
     start = np.flatnonzero(whole)
@@ -86,14 +92,16 @@ def runs_of(hashes: np.ndarray, first: np.ndarray, window: int) -> dict[str, np.
     begin = np.flatnonzero(new)
     windows = np.diff(np.r_[begin, len(start)])
     at = start[begin]
-    end = at + windows + window - 1
+    # Spans are fingerprinted by their runs of `seed` words: polynomials of the words themselves
+    # would collide for long words of a Thue-Morse kind, whatever the base.
+    end = at + windows + window - seed
     return {
         "text": text[begin],
         "start": at - first[:-1][text[begin]],
         "windows": windows,
         "anchor": keys[picked[begin]].astype(np.int64),
-        "span_a": Rolling(hashes, _A_POWERS).of(at, end).astype(np.int64),
-        "span_b": Rolling(hashes, _B_POWERS).of(at, end).astype(np.int64),
+        "span_a": Rolling(keys, _A_POWERS).of(at, end).astype(np.int64),
+        "span_b": Rolling(keys, _B_POWERS).of(at, end).astype(np.int64),
     }
 
 
@@ -122,13 +130,15 @@ def _windows(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
     few = lists.count() <= BROADCAST_IDS
     held = _only(docs, lists.select("id"), few, "left_semi").join(lists, "id").select("id", "text", F.col("runs.start").alias("starts"), F.col("runs.windows").alias("sizes"))
 
+    seed = min(SEED, window)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             starts, sizes = batch.column(2), batch.column(3)
             for lo, hi, data, offsets in chunks(batch.column(1)):
                 words = words_of(data, offsets)
-                hashes = words.hashes()
-                one, two = Rolling(hashes, _A_POWERS), Rolling(hashes, _B_POWERS)
+                keys = grams_of(words.hashes(), seed)
+                one, two = Rolling(keys, _A_POWERS), Rolling(keys, _B_POWERS)
                 of, at = [], []
                 for k in range(hi - lo):
                     s, n = (x[lo + k].values.to_numpy(zero_copy_only=False).astype(np.int64) for x in (starts, sizes))
@@ -138,7 +148,7 @@ def _windows(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
                 of, at = np.concatenate(of), np.concatenate(at)
                 begin = at + words.first[:-1][of]
                 ids = batch.column(0).slice(lo, hi - lo).take(pa.array(of))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(at, pa.int32()), pa.array(one.of(begin, begin + window).astype(np.int64)), pa.array(two.of(begin, begin + window).astype(np.int64))], names=["id", "start", "a", "b"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(at, pa.int32()), *(pa.array(x.of(begin, begin + window - seed + 1).astype(np.int64)) for x in (one, two))], names=["id", "start", "a", "b"])
 
     return in_arrow(held, work, "id long, start int, a long, b long")
 
@@ -161,19 +171,18 @@ def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     return whole.union(single).groupBy("id").agg(F.collect_set(F.struct("start", "windows")).alias("runs")).select("id", F.col("runs.start").alias("starts"), F.col("runs.windows").alias("windows"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame:
-    """docs with text less its repeated passages, and n_removed, the number of words that went.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 50, counted: str | None = "n_removed") -> DataFrame:
+    """docs with text less its repeated passages, and counted, the number of words that went (None: no such column).
 
     A removed word goes with the white space after it; texts without repeats stay as they are.
     """
-    own = [c for c in docs.columns if c.lower() != "n_removed"]
-    rest = [c for c in own if c != text]
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    own = [c for c in docs.columns if counted is None or c.lower() != counted.lower()]
+    slim = docs.select(field(id_col).cast("long").alias("id"), field(text).alias("text"))
     found = stored(repeats(slim, window), "repeats")
     few = found.count() <= BROADCAST_IDS
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*rest).alias("row"), F.col(text).alias("text"))
+    keyed = docs.select(field(id_col).cast("long").alias("id"), whole_row(docs, (text,)).alias("row"), field(text).alias("text"))
     touched = _only(keyed, found.select("id"), few, "left_semi").join(found, "id").select("row", "text", "starts", "windows")
-    schema = T.StructType([touched.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType())])
+    schema = T.StructType([touched.schema["row"], T.StructField("text", T.StringType()), T.StructField("gone", T.LongType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,9 +201,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                     parts = [held[offsets[k] : begin[0]], *compress((held[x:y] for x, y in zip(begin.tolist(), after.tolist(), strict=True)), keep.tolist())]
                     texts.append(b"".join(parts).decode())
                     gone.append(int((~keep).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(gone, pa.int64())], names=["row", "text", "n_removed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(gone, pa.int64())], names=["row", "text", "gone"])
 
-    order = [F.col(f"row.`{c}`") if c != text else F.col("text").alias(text) for c in own]
-    cut = in_arrow(touched, work, schema).select(*order, "n_removed")
-    same = _only(keyed, found.select("id"), few, "left_anti").select(*order, F.lit(0).cast("long").alias("n_removed"))
+    order = [F.col("text").alias(text) if c == text else field(c, "row").alias(c) for c in own]
+    added = [F.col("gone").alias(counted)] if counted else []
+    cut = in_arrow(touched, work, schema).select(*order, *added)
+    same = _only(keyed, found.select("id"), few, "left_anti").withColumn("gone", F.lit(0).cast("long")).select(*order, *added)
     return same.union(cut)
