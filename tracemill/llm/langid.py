@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, in_arrow, lowered, mix
+from .common import chunks, field, in_arrow, lowered, mix
 
 BUCKETS = 4096
 #: Labelled rows at most that weigh the bits; the n-gram counts come from all labelled rows.
@@ -136,7 +136,7 @@ def _calibration_sample(rows: DataFrame, limit: int) -> DataFrame:
 
 def fit_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", calibration_rows: int = CALIBRATION_ROWS, id_col: str = "doc_id") -> LanguageModel:
     """The model of all rows with a label; calibration_rows bounds the sample that weighs the bits."""
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null")
+    rows = labelled.select(field(id_col).alias("id"), field(text).alias("text"), field(lang).alias("lang")).filter("text is not null and lang is not null")
     counts = _language_counts(rows)
     languages = sorted(counts)
     code = codebook(len(languages))
@@ -202,4 +202,4 @@ def predict_language(docs: DataFrame, model: LanguageModel, text: str = "text")
                     close[lo:hi] = lettered & found[2]
             yield pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array(known[best].tolist(), pa.string()), pa.array(score), pa.array(close)], names=[*names, "lang_pred", "score", "ambiguous"])
 
-    return in_arrow(docs.select(*dict.fromkeys([*names, text])), work, schema)
+    return in_arrow(docs.select(*map(field, dict.fromkeys([*names, text]))), work, schema)

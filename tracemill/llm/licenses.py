@@ -7,7 +7,7 @@ at least ceil(threshold * n) distinct words (length filter), and after the first
 common token enough tokens of either are left (positional filter).  What passes is
 counted, so the join is exact.  Blocks are windows of `block_words` words that start
 every half of that; a template of at most half of it falls whole into one of them,
-wherever lines break.
+wherever lines break; a longer one raises ValueError.
 
 Named phrases are looked up beside that, word by word.
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, in_arrow, lowered, stored, words_of
+from .common import chunks, field, in_arrow, lowered, words_of
 
 THRESHOLD, BLOCK_WORDS = 0.9, 64
 
@@ -126,7 +126,7 @@ def token_frequencies(docs: DataFrame, templates: dict[str, str], text: str = "t
                 total += np.bincount(at[known[at] == hashes], minlength=len(known))
         yield pa.RecordBatch.from_arrays([pa.array(known.astype(np.int64)), pa.array(total)], names=["token", "n"])
 
-    counted = in_arrow(docs.select(text), work, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = in_arrow(docs.select(field(text)), work, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     return {r["token"]: r["n"] for r in counted.collect()}
 
 
@@ -135,6 +135,9 @@ def find_licenses(docs: DataFrame, text: str = "text", templates: dict[str, str]
 
     places are where phrases stand; blocks are the text blocks that reach a template's threshold.
     """
+    longest = max((len(_hashes(x)) for x in templates.values()), default=0)
+    if longest > block_words // 2:
+        raise ValueError(f"a template of {longest} words can fall between blocks of {block_words}: block_words has to be {2 * longest} or more")
     table = Templates(templates, token_frequencies(docs, templates, text), threshold)
     wanted = [(label, _hashes(phrase)) for phrase, label in phrases.items()]
     added = {"n_words", "places", "blocks"}
@@ -180,4 +183,4 @@ def find_licenses(docs: DataFrame, text: str = "text", templates: dict[str, str]
                         blocks[lo + r].append({"label": table.labels[t], "first": w * step, "last": end - int(first[r]) - 1, "containment": share})
             yield pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array(counts), pa.array(places, place_type), pa.array(blocks, block_type)], names=[*names, "n_words", "places", "blocks"])
 
-    return in_arrow(docs.select(*dict.fromkeys([*names, text])), work, schema)
+    return in_arrow(docs.select(*map(field, dict.fromkeys([*names, text]))), work, schema)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, free_name, in_arrow, lowered, stored
+from .common import chunks, field, free_name, in_arrow, lowered, stored
 
 #: Pieces that one packing task holds (a few tens of bytes each).
 GROUP_PIECES = 32_768
@@ -138,7 +138,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capac
             if row:
                 yield out(row, piece, start, length, ids)
 
-    return in_arrow(docs.select(*names, text), work, schema)
+    return in_arrow(docs.select(*map(field, names), field(text).alias(text)), work, schema)
 
 
 def bound_parts(capacity: int, cut_points: tuple[int, ...] = (2, 3, 4, 6, 10, 20)) -> list[tuple[str, int, int]]:
@@ -243,14 +243,14 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, length: str = "length",
 
     def dealt(df: DataFrame, parts: int) -> Column:
         salt = F.monotonically_increasing_id()
-        return F.pmod(F.xxhash64(*[c for c in columns if not isinstance(df.schema[c].dataType, T.MapType)], salt), F.lit(parts)).cast("int")
+        return F.pmod(F.xxhash64(*[field(c) for c in columns if not isinstance(df.schema[c].dataType, T.MapType)], salt), F.lit(parts)).cast("int")
 
     def packed(df: DataFrame, round_no: int, parts: int) -> DataFrame:
-        out = df.select(*columns, dealt(df, parts).alias(part)).groupBy(part).applyInPandas(packing(round_no), packed_schema)
+        out = df.select(*map(field, columns), dealt(df, parts).alias(part)).groupBy(part).applyInPandas(packing(round_no), packed_schema)
         return stored(out, f"packed{round_no}")
 
     def all_sums(df: DataFrame) -> list[int]:
-        x, c = F.col(length).cast("long"), capacity
+        x, c = field(length).cast("long"), capacity
         aggs = []
         for i, (kind, p, _) in enumerate(bound_parts(capacity)):
             if kind == "sum":

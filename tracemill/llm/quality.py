@@ -7,6 +7,9 @@ expectation-maximisation over the groups: the accuracy of every rule and the sha
 of good documents are estimated together, without labels.  `QualityModel.posterior`
 is a column expression, so that scoring is a projection without a shuffle.
 
+A vote for good never lowers the posterior, one for bad never raises it, and the weight of
+an abstention stays within a half: the estimates are clamped to that in every round.
+
 Defined results: null and empty texts count as no words; repeated rows count as
 often as they stand; an empty table fits the prior alone; features replace columns
 of the same name.
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE_POWERS, chunks, in_arrow, lowered, mix, sums_by_text, words_of
+from .common import BYTE_POWERS, chunks, field, in_arrow, lowered, mix, sums_by_text, whole_row, words_of
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_alpha_words", "n_letters", "n_capitals", "n_ended_lines", "n_distinct_words", "n_bangs")
 
@@ -152,7 +155,7 @@ def quality_features(docs: DataFrame, text: str = "text", keep_text: bool = Fals
             counts = np.concatenate(found, axis=1) if found else np.zeros((len(FEATURES), 0), dtype=np.int64)
             yield pa.RecordBatch.from_arrays([*batch.select(names).columns, *(pa.array(x, pa.int64()) for x in counts)], names=[*names, *FEATURES])
 
-    return in_arrow(docs.select(*dict.fromkeys([*names, text])), work, schema)
+    return in_arrow(docs.select(*map(field, dict.fromkeys([*names, text]))), work, schema)
 
 
 def _share(a: str, b: str) -> Column:
@@ -254,7 +257,6 @@ def judged(features: DataFrame, model: QualityModel, threshold: float = 0.5) ->
 
 def filter_quality(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents that are kept, with docs' own columns: one pass to fit, one to filter, no shuffle of texts."""
-    own = docs.columns
-    model = fit_quality(quality_features(docs.select(text), text))
-    held = docs.select(F.struct(*own).alias("row"), F.col(text).alias("quality_text"))
+    model = fit_quality(quality_features(docs.select(field(text).alias("text"))))
+    held = docs.select(whole_row(docs).alias("row"), field(text).alias("quality_text"))
     return judged(quality_features(held, "quality_text"), model, threshold).filter("kept").select("row.*")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, chunks, in_arrow, mix
+from .common import Words, chunks, field, free_name, in_arrow, mix
 
 #: Text that is worked on at once: the more, the fewer words are new, and the more memory a lattice takes.
 SAMPLE_CHUNK = 640 << 10
@@ -219,14 +219,15 @@ def _blank_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 def sample_pieces(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", alpha: float = 1.0, seed: int = 0) -> DataFrame:
     """docs without text, with ids (binary, little-endian uint32): a segmentation of each text, drawn by its weight."""
-    keep = [f for f in docs.schema.fields if f.name != text and f.name.lower() not in {"ids", "sample_seed"}]
+    keep = [f for f in docs.schema.fields if f.name != text and f.name.lower() != "ids"]
     names = [f.name for f in keep]
     schema = T.StructType([*keep, T.StructField("ids", T.BinaryType())])
+    seeds_in = free_name(docs, "sample_seed")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = PieceTrie(model_path)
         for batch in batches:
-            row_seeds = batch.column("sample_seed").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            row_seeds = batch.column(seeds_in).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             for lo, hi, raw, raw_offsets in chunks(batch.column(text), SAMPLE_CHUNK):
                 data, begin, end, first = _blank_words(raw, raw_offsets)
                 hashes = _run_hashes(data, begin, end)
@@ -241,7 +242,7 @@ def sample_pieces(docs: DataFrame, model_path: str, key: str = "doc_id", text: s
                 ids = [packed[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).select(names).columns, pa.array(ids, pa.binary())], names=[*names, "ids"])
 
-    return in_arrow(docs.select(*names, text, F.xxhash64(F.lit(seed), F.col(key)).alias("sample_seed")), work, schema)
+    return in_arrow(docs.select(*map(field, names), field(text), F.xxhash64(F.lit(seed), field(key)).alias(seeds_in)), work, schema)
 
 
 def _run_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -266,4 +267,4 @@ def decode_pieces(encoded: DataFrame, model_path: str, ids: str = "ids", text: s
                     yield pa.RecordBatch.from_arrays([*batch.slice(lo, len(texts)).select(names).columns, pa.array(texts, pa.string())], names=[*names, text])
                     texts, lo, held = [], i + 1, 0
 
-    return in_arrow(encoded.select(*names, ids), work, schema)
+    return in_arrow(encoded.select(*map(field, names), field(ids)), work, schema)
