@@ -12,8 +12,9 @@ rounds join the forests.
 
 Within a bucket candidates are not all pairs.  Each member is first held against
 the bucket's smallest member, its centre.  What that joins needs no more pairs
-inside.  In further rounds the members of other groups are held against a member
-drawn from the bucket.  Only what is then still apart is held against each other,
+inside.  In further rounds the members of other groups are held against one member
+of the bucket: first the one whose sketch is the most usual, then drawn ones, while
+that finds links.  Only what is then still apart is held against each other,
 unless sizes, finer sketches (2048 bits; a pair at similarity 0.8 is ruled out with
 chance 3e-7) or the distances of both to the centre (Jaccard distance is a metric)
 rule a link out.  No bucket is capped and every candidate pair is either
@@ -24,7 +25,8 @@ threshold has bands of fewer rows and wider sketch limits.
 
 Defined results: null and empty texts have the empty set and are linked with
 nothing; repeated rows of one id count as one document; a null id is a document of
-its own without links; an empty table gives an empty result.
+its own without links; an empty table gives an empty result; where duplicates are
+dropped, other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,15 +41,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, in_arrow, lowered, mix, stored, words_of
+from .common import chunks, field, in_arrow, lowered, mix, stored, whole_row, words_of
 
 COMPONENTS, BAND_ROWS = 128, 4
 #: Components, and so bits, of the sketches that rule out the last cross pairs.
 FINE_COMPONENTS = 2048
 #: Chances, at most, that banding and that a sketch (by independent bits) miss a pair at the threshold.
 BANDS_MISS, SKETCH_MISS = 1e-7, 7e-7
-#: Rounds in which each bucket's groups are held against one drawn member.
-PIVOT_ROUNDS = 1
+#: Rounds, at most, in which each bucket's groups are held against one member, and the share of links among its pairs with which a round leads to another.
+PIVOT_ROUNDS, ROUND_PAYS = 4, 0.1
 #: Nodes that a task's union-find holds at most; beyond, what it knows goes out as links.
 FOREST_NODES = 600_000
 #: Ids that are broadcast at most (8 bytes each).
@@ -144,11 +146,17 @@ def fine_sketches(docs: DataFrame, width: int, m: int = FINE_COMPONENTS) -> Data
 
 def _texts(docs: DataFrame, ids: DataFrame, id_col: str, text: str) -> DataFrame:
     """id and held (the text) of the documents in ids, written.  ids are broadcast when a count shows that they are few."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("held"))
+    texts = docs.select(field(id_col).cast("long").alias("id"), field(text).alias("held"))
     few = ids.count() <= BROADCAST_IDS
     return stored(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "texts")
 
 
+def _spread(df: DataFrame, rows: int = 256) -> DataFrame:
+    """df, dealt to tasks of about rows rows, for work that costs much a row; as many tasks at least as there are cores."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-df.count() // rows)), F.xxhash64("id"))
+
+
 def _pieces(elements: np.ndarray, first: np.ndarray, limit: int = 100_000) -> Iterator[tuple[int, int]]:
     lo, n = 0, len(first) - 1
     while lo < n:
@@ -188,7 +196,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text", widt
                     yield pa.RecordBatch.from_arrays([ids.slice(lo + a, b - a), pa.array(sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), lists, pa.array(sketch[:, 0]), pa.array(sketch[:, 1])], schema=out)
 
     out = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch_0", pa.int64()), ("sketch_1", pa.int64())])
-    return in_arrow(docs.select(F.col(id_col).cast("long"), F.col(text)), work, schema)
+    return in_arrow(docs.select(field(id_col).cast("long").alias("id"), field(text).alias("held")), work, schema)
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
@@ -309,6 +317,22 @@ def _tagged(members: DataFrame, groups: DataFrame) -> DataFrame:
     return tagged.join(mixed, "key", "left_semi").join(centers, "center", "left").withColumn("center_root", F.coalesce("center_root", "center"))
 
 
+def _first(tagged: DataFrame, order: Column) -> DataFrame:
+    """The first member of each bucket, its columns named p_."""
+    columns = ("id", "n_shingles", "sketch_0", "sketch_1", "root")
+    best = tagged.groupBy("key").agg(F.min(F.struct(order.alias("o"), *columns)).alias("p"))
+    return best.select("key", *[F.col(f"p.{c}").alias(f"p_{c}") for c in columns])
+
+
+def _central(tagged: DataFrame) -> DataFrame:
+    """The member of each bucket whose sketch is nearest to the bits that most members have: a text that the others were made from, if it is there."""
+    bits = [F.sum(F.getbit("sketch_0", F.lit(i))).alias(f"b{i}") for i in range(64)]
+    counted = tagged.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *bits)
+    usual = sum((F.when(2 * F.col(f"b{i}") > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(1, 64)), F.when(2 * F.col("b0") > F.col("n"), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
+    held = tagged.join(stored(counted.select("key", usual.alias("usual")), "usual"), "key")
+    return _first(held, F.bit_count(F.col("sketch_0").bitwiseXOR(F.col("usual"))))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, m: int = COMPONENTS, rows: int | None = None) -> DataFrame:
     """id, n_shingles, component_id and kept for every document of docs.
 
@@ -334,29 +358,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     # Rounds with another pivot for each bucket: members of other groups than the pivot's are held
     # against it, so a round costs a pair for each member at most, and groups that many links join
-    # grow together without the other pairs.
+    # grow together without the other pairs.  Rounds go on while they pay.
     seen = judged.select("a", "b")
     for r in range(PIVOT_ROUNDS):
         tagged = stored(_tagged(members, groups), "tagged")
         if tagged.isEmpty():
             break
-        drawn = F.xxhash64(F.lit(r), "id")
-        pivots = tagged.groupBy("key").agg(F.min(F.struct(drawn.alias("o"), "id", "n_shingles", "sketch_0", "sketch_1", "root")).alias("p"))
-        pivots = pivots.select("key", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("id", "n_shingles", "sketch_0", "sketch_1", "root")])
-        pairs = tagged.join(stored(pivots, "pivots"), "key").filter((F.col("root") != F.col("p_root")) & _possible("n_shingles", "p_n_shingles", "sketch", "p_sketch", percent))
+        pivots = stored(_central(tagged) if r == 0 else _first(tagged, F.xxhash64(F.lit(r), "id")), "pivots")
+        pairs = tagged.join(pivots, "key").filter((F.col("root") != F.col("p_root")) & _possible("n_shingles", "p_n_shingles", "sketch", "p_sketch", percent))
         pairs = stored(pairs.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
+        held = pairs.count()
+        if not held:
             continue
         found = _verify(pairs, docs, id_col, text, width)
         seen = seen.union(found.select("a", "b"))
-        groups = _joined(groups, found.filter(alike).select("a", "b"))
+        more = stored(found.filter(alike).select("a", "b"), "links")
+        groups = _joined(groups, more)
+        if more.count() < ROUND_PAYS * held:
+            break
 
     # What is still in different groups of a bucket: every such pair that no filter rules out.
     tagged = _tagged(members, groups).join(judged.select(F.col("a").alias("center"), F.col("b").alias("id"), "similarity"), ["center", "id"], "left")
     tagged = tagged.withColumn("near", F.when(F.col("id") == F.col("center"), 1.0).otherwise(F.col("similarity"))).withColumn("main", F.col("root") == F.col("center_root"))
     tagged = stored(tagged.select("key", "id", "n_shingles", "root", "near", "main"), "tagged")
     if not tagged.isEmpty():
-        fine = stored(fine_sketches(_texts(docs, stored(tagged.select("id").distinct(), "odd"), id_col, text), width).dropDuplicates(["id"]), "fine")
+        fine = stored(fine_sketches(_spread(_texts(docs, stored(tagged.select("id").distinct(), "odd"), id_col, text)), width).dropDuplicates(["id"]), "fine")
         bits = [c for c in fine.columns if c != "id"]
         known = filled.select("id", "bands").join(fine, "id").dropDuplicates(["id"])
         tagged = stored(tagged.join(stored(known, "known"), "id"), "fine_tagged")
@@ -375,7 +401,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     member = signed.select("id", "n_shingles", "set_a", "set_b").join(classes, ["n_shingles", "set_a", "set_b"], "left")
     member = member.join(groups.select(F.col("id").alias("class_id"), "root"), "class_id", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "class_id", "id")).otherwise(F.col("id"))
-    return member.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    return member.select("id", "n_shingles", component.alias("component_id")).select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -383,12 +409,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
 
     Texts move only where an id stands in docs more than once, or where the ids to drop are too many to broadcast.
     """
-    judged = stored(near_duplicates(docs, id_col, text, width, percent), "near_duplicates")
-    gone = judged.filter("not kept").select(F.col(id_col).alias("gone_id")).distinct()
+    judged = stored(near_duplicates(docs, id_col, text, width, percent).select(field(id_col).alias("id"), "kept"), "near_duplicates")
+    gone = judged.filter("not kept").select("id").distinct()
     few = gone.count() <= BROADCAST_IDS
-    left = docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("long") == F.col("gone_id"), "left_anti")
-    again = stored(judged.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("again_id")).count().filter("count > 1").select("again_id"), "repeated")
+    keyed = docs.select(field(id_col).cast("long").alias("id"), field(text).alias("held"), whole_row(docs).alias("row"))
+    left = keyed.join(F.broadcast(gone) if few else gone, "id", "left_anti")
+    again = stored(judged.filter("id is not null").groupBy("id").count().filter("count > 1").select("id"), "repeated")
     if again.isEmpty():
-        return left
-    same = left[id_col].cast("long") == F.col("again_id")
-    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([id_col]))
+        return left.select("row.*")
+    # Of rows that repeat an id, the one whose text has the least hash stays.
+    one = left.join(again, "id", "left_semi").groupBy("id").agg(F.min_by("row", F.xxhash64("held")).alias("row"))
+    return left.join(again, "id", "left_anti").select("row").union(one.select("row")).select("row.*")
