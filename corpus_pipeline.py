@@ -3,17 +3,20 @@
 Quality rules, near duplicates, repeated passages, secrets, packing.  Each stage
 works on all that the one before it kept, which is written as Parquet and read
 again.  All but the last return the columns of documents.
+
+Each stage's defined results: a null or empty text fails the quality rules, and where a
+stage is used alone it stays as it is, is no copy, and packs as its end token; rows that
+repeat an id are one document to near_dedup, and are judged each by the others; a null
+id stays; an empty table gives an empty result; other columns stay, whatever their names.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import scratch_dir, table
+from tracemill.llm.common import scratch_path, scratch_scope, table
 from tracemill.llm.minhash import drop_near_duplicates
 from tracemill.llm.packing import pack_pieces, tokenize_pieces
 from tracemill.llm.quality import filter_quality
@@ -38,7 +41,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts less the passages of 50 words and more that an earlier document has."""
-    return _recounted(remove_repeats(docs, window=50).select(docs.columns))
+    return _recounted(remove_repeats(docs, window=50, counted=None))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,10 +70,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over documents."""
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        made = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            path = f"{scratch_dir(spark)}/tracemill/stage-{i}-{name}-{uuid.uuid4().hex}"
-            made.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return made
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, f"stage-{name}")
+        with scratch_scope(spark):  # what a stage writes for itself goes as soon as its result is written
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
