@@ -267,9 +267,13 @@ def test_samples_follow_the_weights():
     ways = list(all_ways(word))
     weight = np.array([np.exp(-0.3 * trie.cost[list(w)].sum()) for w in ways])
     data = np.frombuffer(word, dtype=np.uint8)
-    lattice = sampling.Lattice(trie, data, np.array([0]), np.array([len(data)]), 0.3)
+    lattice = sampling.Lattice(trie, 0.3)
+    other = np.frombuffer(b" other words", dtype=np.uint8)
+    lattice.numbers(other, np.array([0, 6]), np.array([6, 12]))
+    number = lattice.numbers(data, np.array([0]), np.array([len(data)]))
+    assert number.tolist() == lattice.numbers(data, np.array([0]), np.array([len(data)])).tolist() == [2]
     n = 40000
-    pieces, counts = lattice.sample(np.zeros(n, dtype=np.int64), sampling.mix(np.arange(n).astype(np.uint64)))
+    pieces, counts = lattice.sample(np.repeat(number, n), sampling.mix(np.arange(n).astype(np.uint64)))
     ends = np.cumsum(counts)
     seen = {}
     for a, b in zip(ends - counts, ends, strict=True):

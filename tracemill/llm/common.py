@@ -114,6 +114,9 @@ def in_arrow(df: DataFrame, work: Callable, schema: object) -> DataFrame:
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    names = df.columns
+    if any("." in c or "`" in c for c in names):  # mapInArrow would look for fields of structs
+        return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(lambda batches: work(b.rename_columns(names) for b in batches), schema)
     return df.mapInArrow(work, schema)
 
 

@@ -219,7 +219,12 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, length: str = "length",
     equal rows makes one of them large.  Exchange rounds move only pieces of open bins.
     """
     pieces = pieces.drop("sequence_id", "offset")
-    columns = pieces.columns
+    own = pieces.columns
+    if any("." in c or "`" in c for c in own):  # applyInPandas would look for fields of structs
+        plain = pieces.toDF(*[f"c{i}" for i in range(len(own))])
+        done = pack_pieces(plain, capacity, f"c{own.index(length)}", group_pieces, max_rounds)
+        return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)], "sequence_id", "offset")
+    columns = own
     part, open_bin = free_name(pieces, "part"), free_name(pieces, "open_bin")
     packed_schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField(open_bin, T.BooleanType())])
 

@@ -84,18 +84,19 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_pieces(encoded, model).select("doc_id", "n_pieces", "ids_crc32", decoded.alias("decoded_sha256"), (decoded == F.col("sha")).alias("lossless"))
 
 
-#: Pages that are captured between a page and its revisit.
-REVISIT_AFTER = 1000
-
-
 def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page as a full response, and a not-modified revisit of it REVISIT_AFTER pages later; ids are even and odd."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    tag, day = F.md5(F.coalesce("html", F.lit(""))), (F.col("page_id") % 28 + 1).cast("string")
+    """Pages as captures of their folder's URL, and a not-modified revisit for each, up to 66 pages earlier than itself.
+
+    Ids are even for responses and odd for revisits.  Revisits of even pages name an entity tag, others a date.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", r"/[0-9]+.*$", "/").alias("url"), "html")
+    tag, day = F.md5(F.coalesce("html", F.lit(""))), (F.col("page_id") % 3).cast("string")
     full = F.create_map(F.lit("etag"), tag, F.lit("last-modified"), day, F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), F.length("html").cast("string"), F.lit("age"), F.lit("0"))
-    short = F.create_map(F.lit("etag"), F.concat(F.lit("W/"), tag), F.lit("age"), F.lit("1"), F.lit("content-length"), F.lit("0"))
+    common = F.create_map(F.lit("age"), F.lit("1"), F.lit("content-length"), F.lit("0"))
+    named = F.when(F.col("page_id") % 2 == 0, F.create_map(F.lit("etag"), F.concat(F.lit("W/"), tag))).otherwise(F.create_map(F.lit("last-modified"), day))
     responses = pages.select((F.col("page_id") * 2).alias("id"), "url", (F.col("page_id") * 2).alias("at"), F.lit(True).alias("full"), full.alias("headers"), F.col("html").alias("body"))
-    revisits = pages.select((F.col("page_id") * 2 + 1).alias("id"), "url", (F.col("page_id") * 2 + 2 * REVISIT_AFTER + 1).alias("at"), F.lit(False).alias("full"), short.alias("headers"), F.lit(None).cast("string").alias("body"))
+    earlier = F.col("page_id") - F.col("page_id") % 7 * 11
+    revisits = pages.select((F.col("page_id") * 2 + 1).alias("id"), "url", (earlier * 2 + 1).alias("at"), F.lit(False).alias("full"), F.map_concat(named, common).alias("headers"), F.lit(None).cast("string").alias("body"))
     found = resolve_revisits(responses.union(revisits))
     header = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
     return found.select(F.expr("id div 2").alias("page_id"), "url_key", F.expr("source_id div 2").alias("source_page_id"), "outcome", header.alias("headers"), F.md5("body").alias("body_md5"))
@@ -186,9 +187,9 @@ SQL: dict[str, str] = {
         )
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
     """,
-    "op9_warc_revisits": f"""
+    "op9_warc_revisits": """
         WITH p AS (
-            SELECT page_id, html, regexp_replace(trim(url), '#.*$', '') AS bare FROM pages
+            SELECT page_id, html, regexp_replace(trim(regexp_replace(url, '/[0-9]+.*$', '/')), '#.*$', '') AS bare FROM pages
         ), q AS (
             SELECT page_id, html, lower(regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme,
                 regexp_replace(bare, '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM p
@@ -199,16 +200,17 @@ SQL: dict[str, str] = {
         ), k AS (
             SELECT page_id, html, regexp_replace(host, CASE WHEN scheme = 'https' THEN ':443$' ELSE ':80$' END, '') || path
                 || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS url_key FROM h
+        ), v AS (
+            SELECT page_id, url_key, html, page_id - page_id % 7 * 11 AS at FROM k
         ), s AS (
-            SELECT r.page_id, r.url_key, r.html, f.page_id AS source, f.html AS stored,
-                row_number() OVER (PARTITION BY r.page_id ORDER BY f.page_id DESC NULLS LAST) AS n
-            FROM k r LEFT JOIN k f ON f.url_key = r.url_key AND f.page_id <= r.page_id + {REVISIT_AFTER}
+            SELECT v.page_id, v.url_key, v.html, f.page_id AS source, f.html AS stored FROM v ASOF LEFT JOIN k f ON v.url_key = f.url_key AND v.at >= f.page_id
         ), o AS (
-            SELECT *, CASE WHEN source IS NULL THEN 'no_source' WHEN md5(coalesce(html, '')) = md5(coalesce(stored, '')) THEN 'resolved' ELSE 'validators_differ' END AS outcome
-            FROM s WHERE n = 1
+            SELECT *, CASE WHEN source IS NULL THEN 'no_source'
+                WHEN CASE WHEN page_id % 2 = 0 THEN md5(coalesce(html, '')) = md5(coalesce(stored, '')) ELSE page_id % 3 = source % 3 END THEN 'resolved'
+                ELSE 'validators_differ' END AS outcome FROM s
         )
         SELECT page_id, url_key, source AS source_page_id, outcome,
-            CASE WHEN outcome = 'resolved' THEN 'age=1;content-length=' || length(stored) || ';content-type=text/html;etag=W/' || md5(stored) || ';last-modified=' || (source % 28 + 1) END AS headers,
+            CASE WHEN outcome = 'resolved' THEN 'age=1;content-length=' || length(stored) || ';content-type=text/html;etag=' || CASE WHEN page_id % 2 = 0 THEN 'W/' ELSE '' END || md5(stored) || ';last-modified=' || (source % 3) END AS headers,
             CASE WHEN outcome = 'resolved' THEN md5(stored) END AS body_md5
         FROM o
     """,

@@ -9,8 +9,9 @@ alone: the same row gives the same pieces on any cluster.
 
 No piece crosses from a word to the white space after it, so the lattice falls
 apart into words (blanks and what follows them).  The forward pass runs once for
-each distinct word of a chunk, sampling for each word in its place; both are numpy
-over all words at a time.
+each distinct word that a task meets, sampling for each word in its place; both are numpy
+over all words of a chunk at a time.  A word of more than LONG_WORD bytes is segmented
+in parts of that many bytes, and no piece crosses from one to the next.
 
 Characters without a piece, and the character that stands for a blank in pieces,
 become byte pieces, so decoding gives back the very text.
@@ -20,7 +21,7 @@ gets a chance in proportion to 1 / (r + 1).
 
 Defined results: null and empty texts have no pieces and decode to empty; repeated
 rows get the same pieces; a null key counts as a key; an empty table gives an empty
-result; extra columns stay, those that clash with added ones are replaced.
+result; extra columns stay, but for one named `ids`, which is replaced.
 """
 
 from __future__ import annotations
@@ -34,10 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, chunks, field, free_name, in_arrow, mix
+from .common import Powers, Words, chunks, field, free_name, in_arrow, mix
 
 #: Text that is worked on at once: the more, the fewer words are new, and the more memory a lattice takes.
 SAMPLE_CHUNK = 640 << 10
+#: Edges that a task keeps for the words that it has met (20 bytes each), and bytes of a word's part.
+KEPT_EDGES, LONG_WORD = 2_000_000, 4096
+_CHECK_POWERS = Powers(0xC2B2AE3D27D4EB4F)
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[32] = True
 
@@ -109,16 +113,55 @@ class PieceTrie:
 
 
 class Lattice:
-    """Edges into each place of some words, with the chance of each, given that place, to be walked back."""
+    """Edges into each place of some words, with the chance of each, given that place, to be walked back.
 
-    def __init__(self, trie: PieceTrie, data: np.ndarray, begin: np.ndarray, end: np.ndarray, alpha: float):
+    Words are added as they come, and their edges kept; places and edges are numbered through.
+    """
+
+    def __init__(self, trie: PieceTrie, alpha: float):
+        self.trie, self.alpha = trie, alpha
+        self.clear()
+
+    def clear(self) -> None:
+        self.words: dict[bytes, int] = {}
+        self.n_words = self.n_places = self.n_edges = 0
+        self.held = {"source": np.zeros(0, np.int32), "piece": np.zeros(0, np.int32), "upto": np.zeros(0), "edge": np.zeros(0, np.int32), "many": np.zeros(0, np.int32), "begin": np.zeros(0, np.int32), "end": np.zeros(0, np.int32)}
+
+    def _append(self, name: str, at: int, values: np.ndarray) -> None:
+        old = self.held[name]
+        if at + len(values) > len(old):
+            self.held[name] = np.resize(old, 2 * (at + len(values))) if len(old) else np.zeros(2 * len(values), old.dtype)
+            self.held[name][:at] = old[:at]
+        self.held[name][at : at + len(values)] = values
+
+    def numbers(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of each of the distinct words data[begin:end]; words that aren't known yet are added."""
+        raw, lo = data.tobytes(), self.n_words
+        if self.n_edges > KEPT_EDGES:
+            self.clear()
+            lo = 0
+        known, out, new = self.words, [], []
+        for i, (x, y) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)):
+            word = raw[x:y]
+            number = known.get(word)
+            if number is None:
+                number = lo + len(new)
+                known[word] = number
+                new.append(i)
+            out.append(number)
+        if new:
+            self._add(data, begin[new], end[new])
+        return np.array(out, dtype=np.int64)
+
+    def _add(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        trie = self.trie
         size = end - begin
         base = np.concatenate([[0], np.cumsum(size + 1)])  # places of a word: 0 to its size
         of = np.repeat(np.arange(len(begin)), size)
         offset = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
         byte = data[begin[of] + offset].astype(np.int64)
         lead = (byte & 0xC0) != 0x80
-        start, state, length = np.flatnonzero(lead), None, 0
+        start, length = np.flatnonzero(lead), 0
         state = np.zeros(len(start), dtype=np.int64)
         starts, lengths, pieces = [], [], []
         single = np.zeros(len(byte) + 1, dtype=bool)
@@ -147,9 +190,10 @@ class Lattice:
         source = (base[of[at]] + offset[at]).astype(np.int32)
         target = source + n
         depth = offset[at].astype(np.int32) + n
-        order = np.lexsort((target, depth)).astype(np.int32)
+        # Level by level; the edges into a place stand together, the longest piece first.
+        order = np.lexsort((source, target, depth)).astype(np.int32)
         source, target, piece, depth = source[order], target[order], piece[order], depth[order]
-        gain = -alpha * trie.cost[piece]
+        gain = -self.alpha * trie.cost[piece]
         log = np.full(base[-1], -np.inf)
         log[base[:-1]] = 0
         share = np.empty(len(source))
@@ -166,34 +210,46 @@ class Lattice:
             with np.errstate(divide="ignore"):
                 log[target[lo + cut]] = top + np.log(total)
             share[lo:hi] = weight / np.repeat(np.where(total > 0, total, 1), count)
-        by_target = np.argsort(target, kind="stable")
-        self.source, self.piece = source[by_target], piece[by_target]
-        target, share = target[by_target], share[by_target]
-        edges = np.flatnonzero(np.r_[True, np.diff(target) != 0]) if len(target) else np.zeros(0, dtype=np.int64)
-        count = np.diff(np.r_[edges, len(target)])
-        running = np.cumsum(share)
-        running -= np.repeat(running[edges] - share[edges], count)
-        self.upto = target + np.minimum(running, 1.0) * 0.999999
-        self.first = np.searchsorted(target, np.arange(base[-1] + 1))
-        self.share, self.begin, self.end = share, base[:-1], base[1:] - 1
+        # Shares are summed up for each place by itself, and its last edge takes what is left.
+        first = np.flatnonzero(new)
+        count = np.diff(np.r_[first, len(target)])
+        place = np.arange(len(target)) - np.repeat(first, count)
+        upto = share
+        for k in range(1, int(count.max(initial=0))):
+            here = np.flatnonzero(place == k)
+            upto[here] += upto[here - 1]
+        upto[first + count - 1] = 2.0
+        edge, many = np.zeros(base[-1], dtype=np.int32), np.zeros(base[-1], dtype=np.int32)
+        edge[target[first]], many[target[first]] = self.n_edges + first, count
+        for name, values in (("source", source + self.n_places), ("piece", piece), ("upto", upto)):
+            self._append(name, self.n_edges, values)
+        for name, values in (("edge", edge), ("many", many)):
+            self._append(name, self.n_places, values)
+        for name, values in (("begin", base[:-1]), ("end", base[1:] - 1)):
+            self._append(name, self.n_words, values + self.n_places)
+        self.n_words += len(begin)
+        self.n_places += int(base[-1])
+        self.n_edges += len(source)
 
     def sample(self, words: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of each of words in turn, and how many each has; seeds: one for each."""
-        at, row, step = self.end[words], np.arange(len(words)), 0
-        goal = self.begin[words]
+        held = self.held
+        at, row, step = held["end"][words], np.arange(len(words)), 0
+        goal = held["begin"][words]
         counts = np.zeros(len(words), dtype=np.int64)
         rows, steps, pieces = [], [], []
         while len(row):
-            draw = mix(seeds[row] + np.uint64((step + 1) * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)
-            edge = np.searchsorted(self.upto, at + draw.astype(float) * (0.999999 / (1 << 53)), side="right")
-            edge = np.minimum(edge, self.first[at + 1] - 1)
-            while (stuck := self.share[edge] <= 0).any():  # rounding can land on an edge without a share
-                edge[stuck] -= 1
+            draw = (mix(seeds[row] + np.uint64((step + 1) * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)).astype(float) * (1.0 / (1 << 53))
+            edge = held["edge"][at].copy()
+            open_ = np.flatnonzero(held["upto"][edge] <= draw)
+            while len(open_):
+                edge[open_] += 1
+                open_ = open_[held["upto"][edge[open_]] <= draw[open_]]
             rows.append(row)
-            steps.append(np.full(len(row), step))
-            pieces.append(self.piece[edge])
+            steps.append(np.full(len(row), step, dtype=np.int32))
+            pieces.append(held["piece"][edge])
             counts[row] += 1
-            at = self.source[edge]
+            at = held["source"][edge]
             going = at != goal
             row, at, goal = row[going], at[going], goal[going]
             step += 1
@@ -214,6 +270,14 @@ def _blank_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     start[1:] &= ~blank[:-1]
     start[offsets[:-1][full]] = True
     begin = np.flatnonzero(start)
+    size = np.diff(np.r_[begin, len(data)])
+    if (size > LONG_WORD).any():
+        # A word is walked byte by byte, so a very long one is taken in parts, cut where a character begins.
+        parts = [np.arange(x + LONG_WORD, x + n, LONG_WORD) for x, n in zip(begin[size > LONG_WORD].tolist(), size[size > LONG_WORD].tolist(), strict=True)]
+        cut = np.concatenate(parts)
+        for _ in range(3):
+            cut -= (data[cut] & 0xC0) == 0x80
+        begin = np.sort(np.concatenate([begin, cut]))
     return data, begin, np.r_[begin[1:], len(data)], np.searchsorted(begin, offsets)
 
 
@@ -225,14 +289,13 @@ def sample_pieces(docs: DataFrame, model_path: str, key: str = "doc_id", text: s
     seeds_in = free_name(docs, "sample_seed")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = PieceTrie(model_path)
+        lattice = Lattice(PieceTrie(model_path), alpha)
         for batch in batches:
             row_seeds = batch.column(seeds_in).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             for lo, hi, raw, raw_offsets in chunks(batch.column(text), SAMPLE_CHUNK):
                 data, begin, end, first = _blank_words(raw, raw_offsets)
-                hashes = _run_hashes(data, begin, end)
-                _, at, word = np.unique(hashes, return_index=True, return_inverse=True)
-                lattice = Lattice(trie, data, begin[at], end[at], alpha)
+                at, word = _distinct(data, begin, end)
+                word = lattice.numbers(data, begin[at], end[at])[word]
                 of = np.repeat(np.arange(hi - lo), np.diff(first))
                 place = np.arange(len(begin)) - first[:-1][of]
                 seeds = mix(row_seeds[lo + of] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -245,8 +308,20 @@ def sample_pieces(docs: DataFrame, model_path: str, key: str = "doc_id", text: s
     return in_arrow(docs.select(*map(field, names), field(text), F.xxhash64(F.lit(seed), field(key)).alias(seeds_in)), work, schema)
 
 
-def _run_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return Words(data, begin, end, np.array([0, len(begin)]), np.array([0, len(data)])).hashes()
+def _distinct(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An index of each distinct word data[begin:end], and for each word its place among these.
+
+    Words are told apart by 128 bits.
+    """
+    hashes = Words(data, begin, end, np.array([0, len(begin)]), np.array([0, len(data)])).hashes()
+    up, down = _CHECK_POWERS.upto(len(data) + 1)
+    prefix = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=prefix[1:])
+    check = (prefix[end] - prefix[begin]) * down[begin]
+    _, at, word = np.unique(hashes, return_index=True, return_inverse=True)
+    if (check[at][word] != check).any():
+        _, at, word = np.unique(np.stack([hashes, check]), axis=1, return_index=True, return_inverse=True)
+    return at, word
 
 
 def decode_pieces(encoded: DataFrame, model_path: str, ids: str = "ids", text: str = "text") -> DataFrame:

@@ -13,6 +13,9 @@ comparison where both have one, else modification dates where both have one.  He
 merge as for a stored response: the revisit's replace the source's, but for those
 that describe the body or the connection.
 
+`read_warc` gives a file's records and `captures` makes of them what `resolve_revisits`
+takes.
+
 Defined results: a record without a URL or time is never a source nor resolved;
 equal times are ordered by id; repeated rows are records each; null headers count as
 none; an empty table gives an empty result; the result has its own columns only.
@@ -21,22 +24,26 @@ none; an empty table gives an empty result; the result has its own columns only.
 from __future__ import annotations
 
 import gzip
-import io
-from collections.abc import Iterator
+import itertools
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import in_arrow, stored
 
 NOT_MODIFIED = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 
 # Headers of a 304 that don't replace the stored response's.
 KEPT_HEADERS = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade")
 
+#: What every record starts with, and what then follows.
+MARK, _VERSION = b"WARC/1.", re.compile(rb"[0-9]\r?\n")
 RECORD = "record_id string, type string, url string, at timestamp, profile string, status int, headers map<string,string>, body binary"
 
 
@@ -54,42 +61,70 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(sorted_query != "", F.concat(F.lit("?"), sorted_query)).otherwise(""))
 
 
-def parse_warc(data: bytes) -> Iterator[dict]:
-    """The response and revisit records of a WARC file, plain or gzipped by record."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data))
-
-    def fields() -> dict[str, str]:
-        out: dict[str, str] = {}
-        while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            out[name.strip().lower()] = value.strip()
-        return out
-
-    while line := stream.readline():
-        if not line.startswith(b"WARC/"):
+def _fields(raw: bytes) -> dict[str, str]:
+    """Header lines by name in lower case; the values of a repeated name are joined by a comma."""
+    out: dict[str, str] = {}
+    for row in raw.split(b"\n"):
+        name, colon, value = row.decode("utf-8", "replace").partition(":")
+        if colon and name.strip():
+            name, value = name.strip().lower(), value.strip()
+            out[name] = f"{out[name]}, {value}" if name in out else value
+    return out
+
+
+def _record(head: dict[str, str], block: bytes) -> dict | None:
+    """A RECORD row of a response or revisit; None for other kinds."""
+    if head.get("warc-type") not in ("response", "revisit"):
+        return None
+    first, _, rest = block.partition(b"\r\n")
+    raw, _, body = rest.partition(b"\r\n\r\n") if not rest.startswith(b"\r\n") else (b"", b"", rest[2:])
+    status = first.split(b" ")[1] if first.startswith(b"HTTP/") and first.count(b" ") else b""
+    return {
+        "record_id": head.get("warc-record-id"),
+        "type": head["warc-type"],
+        "url": head.get("warc-target-uri"),
+        "at": pd.to_datetime(head.get("warc-date"), utc=True, errors="coerce"),
+        "profile": head.get("warc-profile"),
+        "status": int(status) if status.isdigit() else None,
+        "headers": _fields(raw),
+        "body": body if head["warc-type"] == "response" else None,
+    }
+
+
+def records_of(pieces: Iterable[bytes]) -> Iterator[dict]:
+    """The response and revisit records of what stands between MARKs, in the order of a file.
+
+    A block that has MARK in itself comes as several pieces; they are joined until there are as
+    many bytes as its header tells.  What doesn't start as a record (the rest of a file that is cut
+    short, or what comes before the first one) is left out.
+    """
+    held: list[bytes] = []
+    size, need = 0, 0
+    for piece in pieces:
+        if held:
+            held.append(MARK)
+            size += len(MARK)
+        elif not _VERSION.match(piece):
             continue
-        head = fields()
-        block = stream.read(int(head.get("content-length", 0)))
-        if head.get("warc-type") not in ("response", "revisit"):
+        held.append(piece)
+        size += len(piece)
+        if size < need:
             continue
-        first, _, rest = block.partition(b"\r\n")
-        raw, _, body = rest.partition(b"\r\n\r\n") if not rest.startswith(b"\r\n") else (b"", b"", rest[2:])
-        headers: dict[str, str] = {}
-        for row in raw.split(b"\r\n"):
-            name, colon, value = row.decode("utf-8", "replace").partition(":")
-            if colon:
-                headers[name.strip().lower()] = value.strip()
-        status = first.split(b" ")[1] if first.startswith(b"HTTP/") and first.count(b" ") else b""
-        yield {
-            "record_id": head.get("warc-record-id"),
-            "type": head["warc-type"],
-            "url": head.get("warc-target-uri"),
-            "at": pd.to_datetime(head.get("warc-date"), utc=True, errors="coerce"),
-            "profile": head.get("warc-profile"),
-            "status": int(status) if status.isdigit() else None,
-            "headers": headers,
-            "body": body if head["warc-type"] == "response" else None,
-        }
+        whole = b"".join(held)
+        end = whole.find(b"\r\n\r\n")
+        if end < 0:
+            held, need = [whole], size + 1
+            continue
+        head = _fields(whole[:end])
+        length = head.get("content-length", "0")
+        need = end + 4 + (int(length) if length.isdigit() else 0)
+        if size < need:
+            held = [whole]
+            continue
+        record = _record(head, whole[end + 4 : need])
+        if record is not None:
+            yield record
+        held, size, need = [], 0, 0
 
 
 def format_warc(record: dict) -> bytes:
@@ -103,30 +138,54 @@ def format_warc(record: dict) -> bytes:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """RECORD rows of WARC files."""
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["record_id", "type", "url", "at", "profile", "status", "headers", "body"]
-        for frame in frames:
-            for content in frame["content"]:
-                rows, held = [], 0
-                for record in parse_warc(bytes(content)):
-                    rows.append(record)
-                    held += len(record["body"] or b"") + 1000
-                    if held > 8 << 20:
-                        yield _frame(rows, names)
-                        rows, held = [], 0
-                if rows:
-                    yield _frame(rows, names)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(work, RECORD)
+    """RECORD rows of WARC files, plain or gzipped (by record or as one).
 
+    Files are read as text between MARKs, so a task holds a record at a time and never a file;
+    plain files are split.  A record of a plain file whose block has MARK in itself has to lie within
+    one split; records of more than 2 GiB aren't supported.
+    """
 
-def _frame(rows: list[dict], names: list[str]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=names)
-    frame["at"] = pd.to_datetime(frame["at"], utc=True).dt.tz_localize(None)
-    frame["status"] = frame["status"].astype("Int32")
-    return frame
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["record_id", "type", "url", "at", "profile", "status", "headers", "body"]
+        schema = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("url", pa.string()), ("at", pa.timestamp("us", tz="UTC")), ("profile", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.binary())])
+
+        def out(rows: list[dict]) -> pa.RecordBatch:
+            columns = {c: [r[c] for r in rows] for c in names}
+            columns["at"] = [None if pd.isna(x) else x.to_pydatetime() for x in columns["at"]]
+            columns["headers"] = [list(x.items()) for x in columns["headers"]]
+            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+        def pieces() -> Iterator[tuple[str, bytes]]:
+            for batch in batches:
+                part = batch.column(0).to_pylist()
+                for i, where in enumerate(part):
+                    yield where, batch.column(1)[i].as_py()
+
+        rows, held = [], 0
+        for _, group in itertools.groupby(pieces(), key=lambda p: p[0]):
+            for record in records_of(piece for _, piece in group):
+                rows.append(record)
+                held += len(record["body"] or b"") + 1000
+                if held > 8 << 20:
+                    yield out(rows)
+                    rows, held = [], 0
+        if rows:
+            yield out(rows)
+
+    part = F.concat_ws("@", "_metadata.file_path", "_metadata.file_block_start")
+    pieces = spark.read.option("lineSep", MARK.decode()).text(path).select(part.alias("part"), F.col("value").cast("binary").alias("piece"))
+    return in_arrow(pieces, work, RECORD)
+
+
+def captures(records: DataFrame) -> DataFrame:
+    """RECORD rows as resolve_revisits takes them: id, url, at (microseconds), full, headers, body, and record_id.
+
+    A response is full unless its status is 304; of revisits those stay that say not modified.
+    """
+    revisit = (F.col("type") == "revisit") & F.regexp_like("profile", F.lit(r"/revisit/server-not-modified$"))
+    response = (F.col("type") == "response") & (F.col("status").isNull() | (F.col("status") != 304))
+    kept = records.filter(F.coalesce(revisit | response, F.lit(False)))
+    return kept.select(F.xxhash64("record_id", "url", "at").alias("id"), "url", F.unix_micros("at").alias("at"), (F.col("type") == "response").alias("full"), "headers", "body", "record_id")
 
 
 def latest_before(records: DataFrame) -> DataFrame:
@@ -146,11 +205,14 @@ def latest_before(records: DataFrame) -> DataFrame:
                 first_key = keys[0]
             start = np.maximum.accumulate(np.where(new, np.arange(len(keys)), -1))
             last = np.maximum.accumulate(np.where(full, np.arange(len(keys)), -1))
-            found = [int(ids[x]) if x >= max(s, 0) and x >= 0 else (source if s < 0 else None) for x, s in zip(last, start, strict=True)]
-            pending = (keys == first_key) & np.array([x is None for x in found])
-            out = pd.DataFrame({"part": part, "id": ids, "source": pd.array(found, dtype="Int64"), "pending": pending, "first_key": None, "last_key": None})
+            own = last >= np.maximum(start, 0)  # a full response of the same URL in this frame
+            carried = ~own & (start < 0) & (source is not None)
+            lacks = ~own & ~carried
+            found = np.where(own, ids[np.maximum(last, 0)], source if source is not None else 0)
+            pending = (keys == first_key) & lacks
+            out = pd.DataFrame({"part": part, "id": ids, "source": pd.arrays.IntegerArray(found.astype(np.int64), lacks), "pending": pending, "first_key": None, "last_key": None})
             yield out[~full]
-            key, source = keys[-1], found[-1]
+            key, source = keys[-1], None if lacks[-1] else int(found[-1])
         if first_key is not None:
             yield pd.DataFrame({"part": [part], "id": pd.array([None], dtype="Int64"), "source": pd.array([source], dtype="Int64"), "pending": [False], "first_key": [first_key], "last_key": [key]})
 
