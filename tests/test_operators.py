@@ -89,15 +89,24 @@ def test_unreadable_queries(text):
         X.parse(text)
 
 
-def test_search(spark):
-    docs = spark.createDataFrame([(1, "red green blue"), (2, "green red"), (3, "Red GREEN"), (4, None)], "id long, text string")
-    index, sizes = X.postings(docs, "id", "text"), X.lengths(docs, "id", "text")
+def test_search(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red green blue"), (2, "green red"), (3, "Red GREEN"), (4, None), (5, "Café x y z noir cafe")], "id long, text string")
+    index = X.write_index(docs, "id", "text", str(tmp_path / "index"), buckets=4)
     hits = lambda q: sorted(r["doc_id"] for r in X.matching(index, X.parse(q)).collect())
     assert hits('"red green"') == [1, 3]
     assert hits("red blue") == [1]
     assert hits("red NOT blue") == [2, 3]
     assert hits("bl* OR green") == [1, 2, 3]
-    assert [r["doc_id"] for r in X.search(index, sizes, "blue OR red").collect()][0] == 1
+    assert hits("cafe") == hits("CAFÉ") == [5]
+    assert (hits("NEAR(cafe noir, 3)"), hits("NEAR(noir cafe, 0)"), hits("NEAR(cafe noir, 2)"), hits("NEAR(x noir, 1)")) == ([5], [5], [5], [])
+    ranked = lambda q: [(r["doc_id"], r["score"] < 0) for r in X.search(index, q).collect()]
+    assert ranked("blue OR red")[0] == (1, True)
+    assert ranked("bl*") == [(1, True)] and ranked('"green red"') == [(2, True)]
+    assert X.total_matches(index, "red").first()["total"] == 3
+    with pytest.raises(X.QueryError):
+        X.parse("NEAR(a, x)")
+    changed = X.updated_postings(spark.read.parquet(str(tmp_path / "index/postings")), docs.filter("id = 2").selectExpr("id as doc_id"), spark.createDataFrame([(1, "black")], "id long, text string"), "id", "text")
+    assert sorted((r["term"], r["doc_id"]) for r in changed.filter("doc_id < 4").collect()) == [("black", 1), ("green", 3), ("red", 3)]
 
 
 def test_snippet(spark):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tracemill.operators.sequences import session_bounds
 from tracemill.sources import classify as V
-from tracemill.sources import jsonl
+from tracemill.sources import jsonl, vendors
 from tracemill.streaming.ingest import EventTable, SessionTable, ingest
 
 Z = "2026-04-21T10:00:00Z"
@@ -70,10 +70,11 @@ def test_files(spark, tmp_path):
 
 
 def test_chat_log(spark):
-    texts = spark.createDataFrame([("p", "# aider chat started at 2026-01-01 10:00:00\n#### do it\nok\n\n# aider chat started at 2026-01-02 10:00:00\n> x\n")], "path string, text string")
-    found = jsonl.aider_sessions(texts, "text", "path").orderBy("started", "idx").collect()
-    assert [(r["role"], r["content"]) for r in found] == [("user", "do it"), ("assistant", "ok"), ("user", "x")]
-    assert len({r["session_id"] for r in found}) == 2
+    texts = spark.createDataFrame([("/w/p/.aider.chat.history.md", "# aider chat started at 2026-01-01 10:00:00\n#### do it\n>\n> now\nok then\n# a heading\n\nmore\n# aider chat started at 2026-01-02 10:00:00\n> x\n")], "source_path string, raw_json string")
+    found = vendors.parse(texts, "aider").orderBy("start_time").collect()
+    assert [[(m["role"], m["content"]) for m in r["messages"]] for r in found] == [[("user", "do it\n\nnow"), ("assistant", "ok then\n\nmore")], [("user", "x")]]
+    assert [(r["project"], r["start_time"][:19], r["input_tokens"], r["output_tokens"]) for r in found] == [("aider:p", "2026-01-01T10:00:00", 1, 3), ("aider:p", "2026-01-02T10:00:00", 0, 0)]
+    assert len({r["session_id"] for r in found}) == 2 and len(found[0]["session_id"]) == 16
 
 
 def test_stream_is_idempotent_and_takes_late_rows(spark, tmp_path):

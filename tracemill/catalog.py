@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import aggregates, relations, sequences
+from .queries import aggregates, relations, sequences, transcripts, workbench
 
-_MODULES = (aggregates, sequences, relations)
+_MODULES = (aggregates, sequences, relations, workbench, transcripts)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.SQL.items()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -48,6 +49,8 @@ PII_RULES = (
 GITHUB_RULES = ("github_url_username", "github_raw_url_username", "github_repo_slug")
 PUBLIC_ORGS = frozenset("anthropics anthropic openai google microsoft meta facebook aws hashicorp vercel supabase huggingface pytorch tensorflow golang rust-lang python nodejs actions github cli docker kubernetes helm npm homebrew apache mozilla jetbrains gradle maven".split())
 EMAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+#: The same matches, found in one go: a scan begins where a name can begin, or the match before ended, and never goes back into a name.
+EMAIL_SCAN = r"(?:\G|(?<![A-Za-z0-9_.+-]))[A-Za-z0-9_.+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 # What explains a token of high entropy: prefixes that other scans know, hex, UUIDs, paths and dotted names;
 # and, in lower case, benign prefixes, parts and file extensions.
@@ -65,11 +68,12 @@ def skipped(found: str, kind: str, rule: str) -> bool:
 
 def without_overlaps(spans: list[tuple]) -> list[tuple]:
     """Spans (start, end, confidence, ...) that don't overlap: the longest first, then the surest, then the leftmost."""
-    taken: list[tuple] = []
+    taken: list[tuple] = []  # kept in order, so that only a span's neighbours can overlap it
     for s in sorted(spans, key=lambda s: (s[0] - s[1], -s[2], s[0])):
-        if all(s[1] <= t[0] or s[0] >= t[1] for t in taken):
-            taken.append(s)
-    return sorted(taken)
+        at = bisect.bisect(taken, s[0], key=lambda t: t[0])
+        if (not at or taken[at - 1][1] <= s[0]) and (at == len(taken) or s[1] <= taken[at][0]):
+            taken.insert(at, s)
+    return taken
 
 
 def pii_spans(docs: DataFrame, id: str, text: str, rules: tuple = PII_RULES) -> DataFrame:
@@ -99,7 +103,8 @@ def finding_id(*parts: Column) -> Column:
 
 def emails_of(docs: DataFrame, id: str, text: str) -> DataFrame:
     """id, entity of each different address of a text."""
-    return docs.select(F.col(id), F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(EMAIL), F.lit(0)))).alias("entity"))
+    some = docs.select(F.col(id), F.col(text)).filter(F.contains(F.col(text), F.lit("@")))
+    return some.select(F.col(id), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(EMAIL_SCAN), F.lit(0)))).alias("entity"))
 
 
 def grouped_findings(findings: DataFrame, group: list[str], confidence: str, entity: str) -> DataFrame:
@@ -113,13 +118,18 @@ def decided(findings: DataFrame, decisions: DataFrame, group: list[str]) -> Data
     return findings.join(decisions.select(*group, F.col("status").alias("decision")), group, "left").withColumn("status", F.coalesce("decision", F.lit("open"))).drop("decision")
 
 
-def redacted(text: Column, patterns: dict[str, str], domains: tuple[str, ...] = ()) -> Column:
-    """text with blocked domains and their subdomains, then each pattern in turn, replaced by placeholders."""
+def redacted(text: Column, patterns: dict[str, str], domains: tuple[str, ...] = (), hints: dict[str, str] | None = None) -> Column:
+    """text with blocked domains and their subdomains, then each pattern in turn, replaced by placeholders.
+
+    hints: what a text with a match contains, by placeholder; texts without it aren't searched.
+    """
     out = text
     for domain in domains:
-        out = F.regexp_replace(out, r"(?:[A-Za-z0-9-]+\.)*" + re.escape(domain), "[REDACTED_DOMAIN]")
+        out = F.when(F.contains(out, F.lit(domain)), F.regexp_replace(out, r"(?:[A-Za-z0-9-]+\.)*" + re.escape(domain), "[REDACTED_DOMAIN]")).otherwise(out)
     for placeholder, pattern in patterns.items():
-        out = F.regexp_replace(out, pattern, placeholder)
+        changed = F.regexp_replace(out, pattern, placeholder)
+        hint = (hints or {}).get(placeholder)
+        out = F.when(F.contains(out, F.lit(hint)), changed).otherwise(out) if hint else changed
     return out
 
 

@@ -73,7 +73,7 @@ def split(messages: DataFrame, boundaries: DataFrame, session: str, index: str)
 
 
 def training_turns(messages: DataFrame, session: str, index: str, role: str, text: str) -> DataFrame:
-    """session, turn, prompt, reply, n_steps: a user message, the last message of the assistant before the next one, and how many came between."""
+    """session, turn, prompt, reply, n_steps: a user message, the last message of the assistant before the next one, and how many came between (`transcripts.training_rows` has replies by their mark)."""
     w = _w(session, index).rowsBetween(Window.unboundedPreceding, 0)
     tagged = messages.withColumn("turn", F.sum(F.when(F.col(role) == "user", 1).otherwise(0)).over(w).cast("long")).filter("turn > 0")
     made = F.col(role) == "assistant"

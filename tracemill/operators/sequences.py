@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from ..session import written
+
 # Thresholds of the detectors.
 SPIKE_WINDOW, SPIKE_MULTIPLIER = 5, 3.0
 COLLAPSE_DROP, COLLAPSE_TOLERANCE = 0.5, 0.25
@@ -105,3 +107,60 @@ def session_bounds(rows: DataFrame, key: str = "session_id", time: str = "event_
     """First and last time of each session, its number of rows, and whether any of them closed it."""
     closed = F.max(F.when(closing, 1).otherwise(0)) if closing is not None else F.lit(0)
     return rows.groupBy(key).agg(F.min(time).alias("started_at"), F.max(time).alias("ended_at"), F.count(F.lit(1)).alias("n_events"), closed.alias("closed"))
+
+
+def numbered_after(rows: DataFrame, order: list[str], base: int, name: str = "write_seq") -> DataFrame:
+    """rows numbered from base + 1 in the order of columns (nulls last), without bringing them to one task.
+
+    Rows are dealt to ranges, counted there, and numbered within their range after those before it.
+    """
+    keys = [F.asc_nulls_last(c) for c in order]
+    ranged = written(rows.repartitionByRange(*keys).withColumn("range", F.spark_partition_id()), "ranges")
+    counts = {r["range"]: r["n"] for r in ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts, total = [], base
+    for r in sorted(counts):
+        starts.append((r, total))
+        total += counts[r]
+    first = rows.sparkSession.createDataFrame(starts, "range int, start long")
+    place = F.row_number().over(Window.partitionBy("range").orderBy(*keys))
+    return ranged.join(F.broadcast(first), "range").withColumn(name, F.col("start") + place).drop("range", "start")
+
+
+def chronological() -> list[Column]:
+    """The order of a session's events, hook-only ones (no id) among them: time (nulls last), base rows first, then where they come from."""
+    return [F.asc_nulls_last("event_at"), F.col("id").isNull(), F.asc_nulls_last("id"), F.coalesce("source_path", F.lit("")), F.coalesce("source_offset", F.lit(-1)), F.coalesce("seq", F.lit(-1)), F.coalesce("event_key", F.lit("")), F.col("type")]
+
+
+def with_hooks_in_place(stream: DataFrame, kinds: tuple[str, ...] = ("command_start", "tool_call", *BREAKERS)) -> DataFrame:
+    """place: the order of a stream in which base rows keep theirs (position), and each timed hook-only row of a kind that runs are made of stands before the first later base row; other hook-only rows come last."""
+    hook = F.col("id").isNull() & F.col("type").isin(*kinds) & F.col("event_at").isNotNull()
+    s = stream.withColumn("hook", hook)
+    base = s.filter("not hook").withColumn("rank", F.col("position").cast("double"))
+    later = Window.partitionBy("session_id").orderBy(F.asc_nulls_last("event_at"), F.col("hook")).rowsBetween(0, Window.unboundedFollowing)
+    marked = s.withColumn("next", F.min(F.when(~F.col("hook") & F.col("event_at").isNotNull(), F.struct("event_at", "position"))).over(later))
+    mine = marked.filter("hook").withColumn("rank", F.coalesce(F.col("next.position") - 0.5, F.lit(float(1 << 52)))).drop("next")
+    both = base.unionByName(mine)
+    return both.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy("rank", F.asc_nulls_last("event_at"), F.coalesce("event_key", F.lit(""))))).drop("hook", "rank")
+
+
+def greatest_counts(rows: DataFrame, session: str, total: str, cached: str, output: str) -> DataFrame:
+    """Tokens of sessions that report totals so far: the greatest of each, input less what was cached."""
+    c = lambda name: F.coalesce(name, F.lit(0))
+    return rows.groupBy(session).agg(F.max(F.greatest(F.lit(0), c(total) - c(cached))).alias("input_tokens"), F.max(c(output)).alias("output_tokens"), F.max(c(cached)).alias("cache_read_tokens"))
+
+
+def fingerprints(events: DataFrame, shell: tuple[str, ...]) -> DataFrame:
+    """events (type, tool, input, outcome: null if there was none) with fingerprint: what was run with which arguments to which outcome.
+
+    Arguments are a JSON object whose keys are put in order; a shell's count only with command, folder
+    and its other names.  A shell's tool call has none: its command does.  Slots are hashed, so that a
+    fingerprint tells nothing of its texts; no outcome differs from an empty one.
+    """
+    given = F.from_json("input", "map<string,string>")
+    kept = F.when(F.col("type") == "command_start", F.map_filter(given, lambda k, v: k.isin("command", "cmd", "workdir", "cwd"))).otherwise(given)
+    args = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(kept))))
+    name = F.when(F.col("type") == "command_start", F.coalesce(F.get_json_object("input", "$.command"), F.get_json_object("input", "$.cmd"))).when((F.col("type") == "tool_call") & ~F.translate(F.lower(F.trim("tool")), "-", "_").isin(*shell), F.col("tool"))
+    slot = lambda c: F.substring(F.sha2(c, 256), 1, 16)
+    state = F.when(F.col("outcome").isNull(), "missing").otherwise("present")
+    whole = F.concat_ws("|", "type", slot(name), slot(F.coalesce(args, F.lit(""))), state, F.coalesce(slot(F.col("outcome")), F.lit("")))
+    return events.withColumn("fingerprint", F.when(F.coalesce(name, F.lit("")) != "", whole))

@@ -195,7 +195,7 @@ SQL = {
     "effort_histogram": f"{_U}, s AS (SELECT session_id, sum(input_tokens) AS tokens, count(*) AS tools FROM us GROUP BY 1), e AS (SELECT .3 * least(tools * 8 / 60.0::DOUBLE, 1) + .3 * least(tools * 5 / 50.0::DOUBLE, 1) + .2 * least(tokens * 400 / 100000.0::DOUBLE, 1) + .2 * least(tools * 2 / 20.0::DOUBLE, 1) AS e FROM s) SELECT CASE WHEN e < .2 THEN '0.0-0.2' WHEN e < .4 THEN '0.2-0.4' WHEN e < .6 THEN '0.4-0.6' WHEN e < .8 THEN '0.6-0.8' ELSE '0.8-1.0' END AS bucket, count(*) AS n FROM e GROUP BY 1",
     "score_histogram": f"WITH {_LABELS} SELECT CAST(quality AS BIGINT) AS quality, count(*) AS n FROM documents LEFT JOIN lb USING (doc_id) GROUP BY 1",
     "advisor_peak_hours": f"{_E} SELECT hour(event_at) AS hour, count(*) AS n FROM ev GROUP BY 1 ORDER BY n DESC, hour LIMIT 5",
-    "advisor_low_days": f"{_E} SELECT (dayofweek(event_at) + 6) % 7 AS weekday, count(*) AS n FROM ev WHERE k < 3 GROUP BY 1 ORDER BY n, weekday LIMIT 2",
+    "advisor_low_days": f"{_E} SELECT * FROM (SELECT (dayofweek(event_at) + 6) % 7 AS weekday, count(*) AS n FROM ev GROUP BY 1 ORDER BY n, weekday LIMIT 2) WHERE n < 3",
     "advisor_downgrade": "SELECT o_orderkey, o_orderpriority, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders WHERE o_totalprice > 1 AND o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW') ORDER BY o_totalprice DESC, o_orderkey LIMIT 5",
     "cost_by_project": "SELECT c_nationkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 ORDER BY cents DESC, c_nationkey LIMIT 10",
     "status_counts": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())",

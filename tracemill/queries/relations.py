@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from ..operators import curation as K
 from ..operators import joins as J
 from ..operators import search as X
 from ..operators.sequences import session_bounds
+from ..session import exists, shared_folder
 from ..sources.fixtures import EVENTS_SQL, events, messages, table
 from ..streaming.ingest import EventTable, SessionTable, ingest
 
@@ -51,7 +53,7 @@ _LAB = "lb AS (SELECT doc_id, source, n_chars, quality FROM documents JOIN (SELE
 
 
 def highlights_diversified(spark: SparkSession, d: str) -> DataFrame:
-    return J.diversified(_scored(spark, d), "source", [F.desc("quality"), F.desc("n_chars"), F.col("doc_id")], 25).select("doc_id", "source", "quality", "n_chars")
+    return J.diversified(_scored(spark, d), "source", [F.desc("quality"), F.desc("n_chars"), F.col("doc_id")], 25, "doc_id").select("doc_id", "source", "quality", "n_chars")
 
 
 def share_ready_anti(spark: SparkSession, d: str) -> DataFrame:
@@ -71,29 +73,45 @@ def recent_effort(spark: SparkSession, d: str) -> DataFrame:
     return e.select("session_id", effort(F.col("n"), F.col("n"), F.col("tokens"), F.col("files")).alias("effort"))
 
 
-def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, d, "documents")
-    return X.postings(docs, "doc_id", "text"), X.lengths(docs, "doc_id", "text")
+def _index(spark: SparkSession, d: str) -> X.Index:
+    """The index of the documents under d; made by a context's first query of them, read by later ones."""
+    path = f"{shared_folder(spark)}/tracemill/index-{hashlib.md5(d.encode()).hexdigest()}-{spark.sparkContext.applicationId}"
+    if exists(spark, f"{path}/count/_SUCCESS"):  # written last
+        return X.Index(spark, path, 64)
+    return X.write_index(table(spark, d, "documents"), "doc_id", "text", path)
 
 
 def search_bm25(spark: SparkSession, d: str) -> DataFrame:
-    index, sizes = _index(spark, d)
-    return X.search(index, sizes, "license OR password", 50).select("doc_id", F.round("score", 9).alias("score"))
+    return X.search(_index(spark, d), "license OR password", 50).select("doc_id", F.round("score", 9).alias("score"))
 
 
 def search_boolean(spark: SparkSession, d: str) -> DataFrame:
-    index, _ = _index(spark, d)
-    return X.matching(index, X.parse("(license OR token) NOT apache"))
+    return X.matching(_index(spark, d), X.parse("(license OR token) NOT apache"))
 
 
 def search_phrase(spark: SparkSession, d: str) -> DataFrame:
-    index, _ = _index(spark, d)
-    return X.matching(index, X.parse('"licensed under the"'))
+    return X.matching(_index(spark, d), X.parse('"licensed under the"'))
 
 
 def search_prefix(spark: SparkSession, d: str) -> DataFrame:
-    index, _ = _index(spark, d)
-    return X.matching(index, X.parse("licen*"))
+    return X.matching(_index(spark, d), X.parse("licen*"))
+
+
+def search_prefix_ranked(spark: SparkSession, d: str) -> DataFrame:
+    return X.search(_index(spark, d), "licen*", 50).select("doc_id", F.round("score", 9).alias("score"))
+
+
+def search_near(spark: SparkSession, d: str) -> DataFrame:
+    return X.matching(_index(spark, d), X.parse("NEAR(licensed license, 4)"))
+
+
+def search_filtered(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", F.col("n_chars").alias("event_at"))
+    return X.search(_index(spark, d), "license", 100, docs, F.col("source") != "src0", F.lit(300)).select("doc_id", F.round("score", 9).alias("score"))
+
+
+def search_total(spark: SparkSession, d: str) -> DataFrame:
+    return X.total_matches(_index(spark, d), "license AND the")
 
 
 def hold_filter_search(spark: SparkSession, d: str) -> DataFrame:
@@ -101,8 +119,7 @@ def hold_filter_search(spark: SparkSession, d: str) -> DataFrame:
     state = F.when(F.col("doc_id") % 4 == 0, "embargoed").when(F.col("doc_id") % 4 == 1, "pending_review").when(F.col("doc_id") % 4 == 2, "released")
     until = F.when(F.col("doc_id") % 8 == 0, F.lit("2024-01-01 00:00:00")).when(F.col("doc_id") % 16 == 4, F.lit("2025-01-01 00:00:00")).cast("timestamp_ntz")
     held = docs.select("doc_id", state.alias("state"), until.alias("until"))
-    index, _ = _index(spark, d)
-    return X.matching(index, X.parse("license")).join(held, "doc_id").filter(visible(F.col("state"), F.col("until"), F.lit(NOW).cast("timestamp_ntz"))).select("doc_id")
+    return X.matching(_index(spark, d), X.parse("license")).join(held, "doc_id").filter(visible(F.col("state"), F.col("until"), F.lit(NOW).cast("timestamp_ntz"))).select("doc_id")
 
 
 def pii_email_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +131,7 @@ def pii_spans_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def redact_documents(spark: SparkSession, d: str) -> DataFrame:
-    text = K.redacted(F.coalesce("text", F.lit("")), {"[EMAIL]": K.EMAIL, "[KEY]": "AKIA[A-Z0-9]{16}"}, ("example.com",))
+    text = K.redacted(F.coalesce("text", F.lit("")), {"[EMAIL]": K.EMAIL_SCAN, "[KEY]": "AKIA[A-Z0-9]{16}"}, ("example.com",), {"[EMAIL]": "@", "[KEY]": "AKIA"})
     return table(spark, d, "documents").select("doc_id", F.md5(text).alias("md5"))
 
 
@@ -148,7 +165,7 @@ def task_type_argmax(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_equals_batch(spark: SparkSession, d: str) -> DataFrame:
     """Sessions derived by a stream over the events' file; equal to session_bounds over the table."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracemill-")).rstrip("/") + f"/stream-{__import__('uuid').uuid4().hex}"
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(d)
     rows = stream.select(F.col("event_id").alias("id"), F.col("user_id").alias("session_id"), F.col("ts").alias("event_at"), F.col("event_type").alias("type"))
@@ -158,13 +175,13 @@ def stream_equals_batch(spark: SparkSession, d: str) -> DataFrame:
     return derived.read().select("session_id", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("started_at"), F.date_format("ended_at", "yyyy-MM-dd HH:mm:ss").alias("ended_at"), "n_events")
 
 
-QUERIES = {f.__name__: f for f in (subagent_time_window, hierarchy_roots, longest_prefix_price, allowlist_specificity, highlights_diversified, share_ready_anti, recommender_tiers, recent_effort, search_bm25, search_boolean, search_phrase, search_prefix, hold_filter_search, pii_email_scan, pii_spans_dedupe, redact_documents, finding_groups, finding_decisions, finding_ids, entropy_tokens, task_type_argmax, stream_equals_batch)}
+QUERIES = {f.__name__: f for f in (subagent_time_window, hierarchy_roots, longest_prefix_price, allowlist_specificity, highlights_diversified, share_ready_anti, recommender_tiers, recent_effort, search_bm25, search_boolean, search_phrase, search_prefix, search_prefix_ranked, search_near, search_filtered, search_total, hold_filter_search, pii_email_scan, pii_spans_dedupe, redact_documents, finding_groups, finding_decisions, finding_ids, entropy_tokens, task_type_argmax, stream_equals_batch)}
 
 _E = f"WITH {EVENTS_SQL}"
 _TOK = r"tk AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\pL\pN_-]+') AS t FROM documents))"
 _MAIL = rf"em AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{K.EMAIL}')) AS entity FROM documents)"
 SQL = {
-    "subagent_time_window": f"{_E}, s AS (SELECT session_id, min(event_at) AS a, max(event_at) AS z FROM ev WHERE k < 20 GROUP BY 1), j AS (SELECT c.session_id AS id, p.session_id AS parent_id, row_number() OVER (PARTITION BY c.session_id ORDER BY p.a, p.session_id) AS n FROM s c JOIN s p ON c.session_id % 10 = p.session_id % 10 AND p.session_id <> c.session_id AND p.session_id % 3 = 0 AND c.a >= p.a AND c.a <= p.z) SELECT id, parent_id FROM j WHERE n = 1",
+    "subagent_time_window": f"{_E}, s AS (SELECT session_id, min(event_at) AS a, max(event_at) AS z FROM ev GROUP BY 1), j AS (SELECT c.session_id AS id, p.session_id AS parent_id, row_number() OVER (PARTITION BY c.session_id ORDER BY p.a, p.session_id) AS n FROM s c JOIN s p ON c.session_id % 10 = p.session_id % 10 AND p.session_id <> c.session_id AND p.session_id % 3 = 0 AND c.a >= p.a AND c.a <= p.z) SELECT id, parent_id FROM j WHERE n = 1",
     "hierarchy_roots": "SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_nationkey - n_nationkey % 5 AS BIGINT) AS root, CAST(n_nationkey % 5 AS BIGINT) AS depth FROM nation",
     "longest_prefix_price": f"WITH p AS (SELECT * FROM (VALUES {', '.join(f'({a!r}, {b}::DOUBLE)' for a, b in PREFIXES)}) t(prefix, price)) SELECT p_partkey, prefix, price FROM part LEFT JOIN p ON starts_with(p_type, prefix) QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY length(prefix) DESC) = 1",
     "allowlist_specificity": "WITH a AS (SELECT 'src' || (item_id % 15) AS hash, CASE item_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' END AS kind, item_id % 7 AS added_at, item_id AS entry_id FROM benchmark) SELECT doc_id AS row_id, entry_id, kind AS allowed_kind FROM documents JOIN a ON hash = source AND (kind IS NULL OR kind = lang) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY kind IS NULL, added_at, entry_id) = 1",
@@ -176,6 +193,10 @@ SQL = {
     "search_boolean": f"WITH {_TOK} SELECT DISTINCT doc_id FROM tk WHERE term IN ('license', 'token') AND doc_id NOT IN (SELECT doc_id FROM tk WHERE term = 'apache')",
     "search_phrase": f"WITH {_TOK} SELECT DISTINCT a.doc_id FROM tk a JOIN tk b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 AND b.term = 'under' JOIN tk c ON a.doc_id = c.doc_id AND c.pos = a.pos + 2 AND c.term = 'the' WHERE a.term = 'licensed'",
     "search_prefix": f"WITH {_TOK} SELECT DISTINCT doc_id FROM tk WHERE starts_with(term, 'licen')",
+    "search_prefix_ranked": f"WITH {_TOK}, ln AS (SELECT doc_id, count(*) AS n FROM tk GROUP BY 1), st AS (SELECT (SELECT count(*) FROM documents) AS nd, (SELECT count(*) FROM tk) / (SELECT count(*) FROM documents) AS mean), h AS (SELECT doc_id, count(*) AS tf FROM tk WHERE starts_with(term, 'licen') GROUP BY 1), w AS (SELECT ln((nd - (SELECT count(*) FROM h) + .5) / ((SELECT count(*) FROM h) + .5)) AS raw, mean FROM st) SELECT doc_id, round(-(CASE WHEN raw <= 0 THEN 1e-6::DOUBLE ELSE raw END) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (.25::DOUBLE + .75::DOUBLE * n / mean)), 9) AS score FROM h JOIN ln USING (doc_id) CROSS JOIN w ORDER BY score, doc_id LIMIT 50",
+    "search_near": f"WITH {_TOK} SELECT DISTINCT a.doc_id FROM tk a JOIN tk b ON a.doc_id = b.doc_id AND abs(a.pos - b.pos) <= 5 WHERE a.term = 'licensed' AND b.term = 'license'",
+    "search_filtered": f"WITH {_TOK}, ln AS (SELECT doc_id, count(*) AS n FROM tk GROUP BY 1), st AS (SELECT (SELECT count(*) FROM documents) AS nd, (SELECT count(*) FROM tk) / (SELECT count(*) FROM documents) AS mean), h AS (SELECT doc_id, count(*) AS tf FROM tk WHERE term = 'license' GROUP BY 1), w AS (SELECT ln((nd - (SELECT count(*) FROM h) + .5) / ((SELECT count(*) FROM h) + .5)) AS raw, mean FROM st) SELECT doc_id, round(-(CASE WHEN raw <= 0 THEN 1e-6::DOUBLE ELSE raw END) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (.25::DOUBLE + .75::DOUBLE * n / mean)), 9) AS score FROM h JOIN ln USING (doc_id) JOIN documents USING (doc_id) CROSS JOIN w WHERE source <> 'src0' AND n_chars >= 300 ORDER BY score, doc_id LIMIT 100",
+    "search_total": f"WITH {_TOK} SELECT count(*) AS total FROM (SELECT doc_id FROM tk WHERE term = 'license' INTERSECT SELECT doc_id FROM tk WHERE term = 'the')",
     "hold_filter_search": f"WITH {_TOK} SELECT DISTINCT doc_id FROM tk WHERE term = 'license' AND (doc_id % 4 >= 2 OR doc_id % 8 = 0)",
     "pii_email_scan": f"WITH {_MAIL} SELECT * FROM em",
     "redact_documents": rf"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?:[A-Za-z0-9-]+\.)*example\.com', '[REDACTED_DOMAIN]', 'g'), '{K.EMAIL}', '[EMAIL]', 'g'), 'AKIA[A-Z0-9]{{16}}', '[KEY]', 'g')) AS md5 FROM documents",

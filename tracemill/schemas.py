@@ -1,21 +1,6 @@
-"""Enumerations and table schemas of the event store."""
+"""Ranks of the event store's confidence."""
 
 from __future__ import annotations
 
-# The types, sources and ranks of recorded events.
-EVENT_TYPES = (
-    "user_message", "assistant_message", "tool_call", "tool_result", "file_read", "file_write", "patch",
-    "command_start", "command_exit", "stdout_chunk", "stderr_chunk", "approval_request", "approval_decision",
-    "compaction", "session_open", "session_close", "schema_unknown",
-)
+# The ranks by which overrides are compared.
 CONFIDENCE_RANK = {"high": 3, "medium": 2, "low": 1, "missing": 0}
-LOSSINESS = ("none", "partial", "unknown", "compacted")
-DATA_SOURCES = ("api", "estimated")
-HOLD_STATES = ("auto_redacted", "pending_review", "released", "embargoed")
-SHAREABLE_STATES = ("auto_redacted", "released")
-STATUS_ENDED = "ended"
-
-SESSIONS = "id long, session_key string, parent_session_key string, parent_session_id long, client string, client_version string, started_at timestamp, ended_at timestamp, status string"
-EVENTS = "id long, session_id long, type string, event_key string, event_at timestamp, ingested_at timestamp, source string, source_path string, source_offset long, seq int, client string, confidence string, lossiness string, raw_json string"
-OVERRIDES = "session_id long, event_key string, type string, source string, confidence string, lossiness string, event_at timestamp, payload_json string, origin string, created_at timestamp, write_seq long"
-TOKEN_USAGE = "event_id long, session_id long, model string, family string, tier string, service_tier string, input long, output long, cache_read long, cache_write long, reasoning long, data_source string, event_at timestamp, cost_estimate double, pricing_table_version string"

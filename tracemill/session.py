@@ -1,8 +1,13 @@
-"""Session settings that the engine's results rely on."""
+"""Session settings that the engine's results rely on, and tables that cut a plan's lineage."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(app: str = "tracemill", master: str | None = None, **conf: str) -> SparkSession:
@@ -13,3 +18,32 @@ def build(app: str = "tracemill", master: str | None = None, **conf: str) -> Spa
     for name, value in conf.items():
         builder = builder.config(name.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: spark.checkpoint.dir, or what the context was told.
+
+    Where neither is set, a local session, whose executors are on this machine, gets a new
+    folder that goes when the process ends; on a cluster that is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        made = tempfile.mkdtemp(prefix="tracemill-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(made)
+        root = spark.sparkContext.getCheckpointDir()
+    return root.rstrip("/")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: nothing before it is computed twice, and it outlives any executor."""
+    path = f"{shared_folder(df.sparkSession)}/tracemill/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,19 +1,25 @@
-"""Line files of sessions, custom sessions, chat logs in Markdown, and findings files."""
+"""Line files of sessions, custom sessions, and findings files."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def read_lines(spark: SparkSession, path: str, client: str) -> DataFrame:
-    """client, source_path, source_offset (an order of the lines of a file), raw_json: lines that aren't blank.
+    """client, source_path, source_offset (the line's number in its file, from 0), raw_json: lines that aren't blank.
 
-    The order is Spark's place of a line in its split, rising within a file; byte offsets
+    The numbers are the same in every read, however files are split: lines are counted for each
+    split, and a line's number is its place in its split after all splits before it.  Byte offsets
     come from `tail.TailSource`.
     """
-    lines = spark.read.text(path).select(F.input_file_name().alias("source_path"), F.monotonically_increasing_id().alias("source_offset"), F.col("value").alias("raw_json"))
-    return lines.filter(F.trim("raw_json") != "").select(F.lit(client).alias("client"), "source_path", "source_offset", "raw_json")
+    split = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("begin"))
+    lines = spark.read.text(path).select(split.alias("split"), F.monotonically_increasing_id().alias("mark"), F.col("value").alias("raw_json"))
+    counts = lines.groupBy("split").agg(F.min("mark").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("split.path").orderBy("split.begin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("split", (before - F.col("first")).alias("shift"))
+    return lines.filter(F.trim("raw_json") != "").join(starts, "split").select(F.lit(client).alias("client"), F.col("split.path").alias("source_path"), (F.col("mark") + F.col("shift")).alias("source_offset"), "raw_json")
 
 
 def valid(lines: DataFrame) -> DataFrame:
@@ -30,24 +36,6 @@ def read_custom_sessions(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter("session_id is not null and model is not null and messages is not null")
 
 
-def aider_sessions(texts: DataFrame, text: str, path: str) -> DataFrame:
-    """session_id, started, idx, role, content, of Markdown chat logs: sessions start at their headings, lines of the user with > or ####."""
-    parts = F.split(F.col(text), r"(?m)^# aider chat started at ")
-    chats = texts.select(F.col(path).alias("source_path"), F.posexplode(parts).alias("chat", "body")).filter("chat > 0")
-    started = F.trim(F.regexp_extract("body", r"^([^\n]*)", 1))
-    chats = chats.select("source_path", "chat", started.alias("started"), F.substring(F.sha2(F.concat_ws("|", "source_path", started), 256), 1, 16).alias("session_id"), F.regexp_replace("body", r"^[^\n]*\n?", "").alias("body"))
-    lines = chats.select("session_id", "started", F.posexplode(F.split("body", "\n")).alias("idx", "line")).filter(F.trim("line") != "")
-    user = F.regexp_like("line", F.lit(r"^(####|>)"))
-    return lines.select("session_id", "started", "idx", F.when(user, "user").otherwise("assistant").alias("role"), F.regexp_replace("line", r"^(####|>)\s*", "").alias("content"))
-
-
-def estimated_tokens(chars: Column) -> tuple[Column, Column]:
-    """Input and output tokens of a chat of so many characters: four make one, a third of them is input."""
-    total = F.floor(chars / 4)
-    into = F.floor(total / 3)
-    return into, total - into
-
-
 def read_findings(spark: SparkSession, path: str) -> DataFrame:
     """entity_text, entity_type, confidence of a findings file: a list, or an object with findings."""
     item = "array<struct<entity_text:string,entity_type:string,confidence:double>>"
