@@ -8,10 +8,7 @@ size, not by the batch, partition or document count.
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -23,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder as scratch_dir
+
 #: Bytes of text that are worked on at once (a longer text is a chunk alone).
 CHUNK_BYTES = 512 << 10
 #: Rows of a batch that goes to Python at most: a bound on memory where texts are long.
@@ -45,23 +44,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or what the context was told.
-
-    Where neither is set, a local session, whose executors are on this machine, gets a new
-    folder that goes when the process ends; on a cluster that is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        made = tempfile.mkdtemp(prefix="tracemill-")
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(made)
-        root = spark.sparkContext.getCheckpointDir()
-    return root.rstrip("/")
-
-
 _SCOPES: list[str] = []
 
 

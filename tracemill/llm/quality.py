@@ -17,6 +17,7 @@ of the same name.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,6 +30,8 @@ from pyspark.sql import types as T
 
 from .common import BYTE_POWERS, chunks, field, in_arrow, lowered, mix, sums_by_text, whole_row, words_of
 
+#: Bytes up to which a line's fingerprint is a polynomial.
+LONG_LINE = 1000
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_alpha_words", "n_letters", "n_capitals", "n_ended_lines", "n_distinct_words", "n_bangs")
 
 # Frequent function words of English, French, German and Spanish.
@@ -109,6 +112,8 @@ def count_features(data: np.ndarray, offsets: np.ndarray, stop: np.ndarray) -> n
     prefix = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=prefix[1:])
     line_hash = mix((prefix[end] - prefix[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    for i in np.flatnonzero(end - begin > LONG_LINE):  # polynomials modulo 2**64 collide for some runs of 1024 bytes and more
+        line_hash[i] = int.from_bytes(hashlib.blake2b(data[begin[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
     n_lines = np.bincount(line_of, minlength=n)
     dup_lines = n_lines - _distinct_by_text(line_hash, line_of, n)
     ended = np.bincount(line_of[_ENDS[data[words.end[np.searchsorted(words.begin, end) - 1] - 1]]], minlength=n) if len(end) else np.zeros(n, dtype=np.int64)
