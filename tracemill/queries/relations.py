@@ -152,7 +152,10 @@ def finding_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entropy_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return K.entropy_candidates(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "token", F.round("entropy", 9).alias("entropy"), "place")
+    """Documents, each with a token made of its id's digest and a path that isn't one, as theirs have none."""
+    made = F.base64(F.unhex(F.md5(F.col("doc_id").cast("string"))))
+    docs = table(spark, d, "documents").select("doc_id", F.concat_ws(" ", F.coalesce("text", F.lit("")), made, F.concat(F.lit("/srv/Build12/"), F.md5(F.col("doc_id").cast("string")))).alias("text"))
+    return K.entropy_candidates(docs, "doc_id", "text").select("doc_id", "token", F.round("entropy", 9).alias("entropy"), "place")
 
 
 def task_type_argmax(spark: SparkSession, d: str) -> DataFrame:
@@ -197,6 +200,15 @@ SQL = {
     "search_near": f"WITH {_TOK} SELECT DISTINCT a.doc_id FROM tk a JOIN tk b ON a.doc_id = b.doc_id AND abs(a.pos - b.pos) <= 5 WHERE a.term = 'licensed' AND b.term = 'license'",
     "search_filtered": f"WITH {_TOK}, ln AS (SELECT doc_id, count(*) AS n FROM tk GROUP BY 1), st AS (SELECT (SELECT count(*) FROM documents) AS nd, (SELECT count(*) FROM tk) / (SELECT count(*) FROM documents) AS mean), h AS (SELECT doc_id, count(*) AS tf FROM tk WHERE term = 'license' GROUP BY 1), w AS (SELECT ln((nd - (SELECT count(*) FROM h) + .5) / ((SELECT count(*) FROM h) + .5)) AS raw, mean FROM st) SELECT doc_id, round(-(CASE WHEN raw <= 0 THEN 1e-6::DOUBLE ELSE raw END) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (.25::DOUBLE + .75::DOUBLE * n / mean)), 9) AS score FROM h JOIN ln USING (doc_id) JOIN documents USING (doc_id) CROSS JOIN w WHERE source <> 'src0' AND n_chars >= 300 ORDER BY score, doc_id LIMIT 100",
     "search_total": f"WITH {_TOK} SELECT count(*) AS total FROM (SELECT doc_id FROM tk WHERE term = 'license' INTERSECT SELECT doc_id FROM tk WHERE term = 'the')",
+    "entropy_tokens": r"""WITH t AS (SELECT doc_id, base64(unhex(md5(CAST(doc_id AS VARCHAR)))) AS token FROM documents), k AS (
+            SELECT * FROM t WHERE regexp_matches(token, '[A-Z]') AND regexp_matches(token, '[a-z]') AND regexp_matches(token, '[0-9]') AND NOT regexp_matches(token, '/.*/')
+                AND NOT regexp_matches(token, '^(eyJ|ghp_|gho_|ghs_|ghr_|sk-|hf_|AKIA|pypi-|npm_|xox)') AND NOT regexp_matches(lower(token), 'webpack|babel|eslint|vendor/|dist/|build/')
+        ), c AS (
+            SELECT doc_id, token, count(*) / length(token) AS p FROM (SELECT doc_id, token, unnest(string_split(token, '')) AS ch FROM k) GROUP BY doc_id, token, ch
+        ), e AS (
+            SELECT doc_id, token, -sum(p * log2(p)) AS h FROM c GROUP BY 1, 2
+        )
+        SELECT doc_id, token, round(h, 9) AS entropy, 1 AS place FROM e WHERE h >= 4""",
     "hold_filter_search": f"WITH {_TOK} SELECT DISTINCT doc_id FROM tk WHERE term = 'license' AND (doc_id % 4 >= 2 OR doc_id % 8 = 0)",
     "pii_email_scan": f"WITH {_MAIL} SELECT * FROM em",
     "redact_documents": rf"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?:[A-Za-z0-9-]+\.)*example\.com', '[REDACTED_DOMAIN]', 'g'), '{K.EMAIL}', '[EMAIL]', 'g'), 'AKIA[A-Z0-9]{{16}}', '[KEY]', 'g')) AS md5 FROM documents",

@@ -239,7 +239,7 @@ def segment_metadata(spark: SparkSession, d: str) -> DataFrame:
     m = _messages(spark, d)
     cut = m.filter("role = 'user' and idx > 0 and idx % 4 = 0").select("session_id", "idx", F.lit("time_gap").alias("reason"))
     s = M.segment_table(G.split(m, cut, "session_id", "idx"), cut)
-    return s.select("segment_id", F.col("first_idx").cast("long").alias("first_idx"), F.col("last_idx").cast("long").alias("last_idx"), "start_time", "user_messages", "assistant_messages", "tool_uses", "reason", F.md5("title").alias("title"))
+    return s.select("segment_id", F.col("first_idx").cast("long").alias("first_idx"), F.col("last_idx").cast("long").alias("last_idx"), "start_time", "user_messages", "assistant_messages", "tool_uses", "reason")
 
 
 def compactions(spark: SparkSession, d: str) -> DataFrame:
@@ -410,8 +410,8 @@ _ID = "substr(sha256(session_id || '|r1|' || engine || '|email|content|' || idx
 _RECORDED = f"rc AS (SELECT *, {_ID} AS finding_id, CASE WHEN entity_type = 'email' AND len % 5 = 0 THEN 'mail-' || entity WHEN len % 3 = 0 THEN 'any-' || entity END AS source_id FROM fd)"
 
 SQL = {
-    "parse_claude": f"WITH {_C} SELECT 'c' || conv_id AS session_id, 'claude:proj' AS project, 'm1' AS model, min(stamp) AS start_time, max(stamp) AS end_time, {_COUNTS}, CAST(count(*) FILTER ({_BASH}) AS BIGINT) AS tool_uses, CAST(sum(CASE WHEN {_BASH} THEN length(text) ELSE 0 END) AS BIGINT) AS input_tokens, CAST(7 * count(*) FILTER ({_BASH}) AS BIGINT) AS output_tokens, CAST(count(*) FILTER ({_BASH} AND turn % 4 = 1) AS INT) AS passed, 'main' AS git_branch, CAST(sum(CASE WHEN {_BASH} THEN turn ELSE 0 END) AS BIGINT) AS cache_read_tokens FROM ch GROUP BY conv_id",
-    "parse_codex": f"WITH {_C} SELECT 'k' || conv_id AS session_id, 'codex:api' AS project, 'lab-codex' AS model, min(stamp) AS start_time, max(stamp) AS end_time, {_COUNTS}, CAST(count(*) FILTER ({_BASH}) AS BIGINT) AS tool_uses, 70 * max(turn) FILTER ({_BASH}) AS input_tokens, 10 * max(turn) FILTER ({_BASH}) AS output_tokens, 30 * max(turn) FILTER ({_BASH}) AS cache_read_tokens, CAST(count(*) FILTER ({_BASH}) AS INT) AS fine FROM ch GROUP BY conv_id",
+    "parse_claude": f"WITH {_C} SELECT 'c' || conv_id AS session_id, 'claude:proj' AS project, CASE WHEN count(*) FILTER (role = 'assistant') > 0 THEN 'm1' END AS model, min(stamp) AS start_time, max(stamp) AS end_time, {_COUNTS}, CAST(count(*) FILTER ({_BASH}) AS BIGINT) AS tool_uses, CAST(sum(CASE WHEN {_BASH} THEN length(text) ELSE 0 END) AS BIGINT) AS input_tokens, CAST(7 * count(*) FILTER ({_BASH}) AS BIGINT) AS output_tokens, CAST(count(*) FILTER ({_BASH} AND turn % 4 = 1) AS INT) AS passed, 'main' AS git_branch, CAST(sum(CASE WHEN {_BASH} THEN turn ELSE 0 END) AS BIGINT) AS cache_read_tokens FROM ch GROUP BY conv_id",
+    "parse_codex": f"WITH {_C} SELECT 'k' || conv_id AS session_id, 'codex:api' AS project, 'lab-codex' AS model, min(stamp) AS start_time, max(stamp) AS end_time, {_COUNTS}, CAST(count(*) FILTER ({_BASH}) AS BIGINT) AS tool_uses, coalesce(70 * max(turn) FILTER ({_BASH}), 0) AS input_tokens, coalesce(10 * max(turn) FILTER ({_BASH}), 0) AS output_tokens, coalesce(30 * max(turn) FILTER ({_BASH}), 0) AS cache_read_tokens, CAST(count(*) FILTER ({_BASH}) AS INT) AS fine FROM ch GROUP BY conv_id",
     "parse_openclaw": f"WITH {_C} SELECT 'o' || conv_id AS session_id, 'openclaw:claw' AS project, 'p/m' AS model, '2024-01-01T00:00:00' AS start_time, max(stamp) AS end_time, {_COUNTS}, CAST(0 AS BIGINT) AS tool_uses, CAST(7 * count(*) FILTER ({_BASH}) AS BIGINT) AS input_tokens, CAST(3 * count(*) FILTER ({_BASH}) AS BIGINT) AS output_tokens, CAST(count(*) FILTER (role = 'system') AS INT) AS compactions FROM cv GROUP BY conv_id",
     "parse_others": f"""WITH {_C}, g AS (SELECT conv_id, {_COUNTS}, max(turn) AS last FROM ch GROUP BY 1) SELECT 'gemini' AS source, 'g' || conv_id AS session_id, CASE WHEN assistant_messages > 0 THEN 'g' END AS model, user_messages, assistant_messages, assistant_messages AS tool_uses, 6 * assistant_messages AS input_tokens, assistant_messages AS output_tokens, CAST(assistant_messages AS INT) AS done FROM g
         UNION ALL SELECT 'kimi', 'q' || conv_id, NULL, user_messages, assistant_messages, assistant_messages, 0, 9 * last, 0 FROM g
