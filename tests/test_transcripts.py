@@ -108,3 +108,21 @@ def test_kinds(spark):
     frame = spark.createDataFrame([("/a/Test_x.py", "make all && git status", "Fix it. Then more", "12 passed")], "p string, c string, s string, o string")
     r = frame.select(M.file_kind(F.col("p")).alias("p"), M.command_kind(F.col("c")).alias("c"), M.first_sentence(F.col("s")).alias("s"), M.test_result(F.col("o")).alias("o"), M.first_sentence(F.lit("see `x` at https://a.b/c and src/a.py now")).alias("m")).first()
     assert tuple(r) == ("test file", "vcs", "Fix it.", "12/12 passed", "see [code] at [url] and [file] now")
+
+
+def test_texts(spark):
+    from datetime import date
+
+    from tracemill.functions import texts as T
+
+    r = spark.range(1).select(T.masked(F.lit("ghp_abcdefghij")), T.masked(F.lit("short")), T.masked(F.lit("npm_abcdefghijk")), T.short_model(F.lit("anthropic/x-1-20250101")), T.squashed(F.lit(" a\n b "), 9), T.time_ago(F.lit(None).cast("timestamp"), F.current_timestamp())).first()
+    assert tuple(r) == ("ghp_***ghij", "***", "npm_abcd***hijk", "x-1", "a b", "recently")
+    nested = spark.range(1).select(T.json_strings(F.lit('{"a": {"b": ["x", {"c": "y"}], "n": 1}, "z": ""}')).alias("s"), T.json_strings(F.lit("no")).alias("n"), T.json_summary(F.lit('{"x": "later", "text": "first"}')).alias("t")).first()
+    assert [tuple(x) for x in nested["s"]] == [("a.b[0]", "x"), ("a.b[1].c", "y")] and nested["n"] == [] and nested["t"] == "first · later"
+    assert (T.since_day("week", date(2026, 4, 22)), T.gap_minutes("1h")) == (date(2026, 4, 20), 60)
+    with pytest.raises(ValueError):
+        T.gap_minutes("0m")
+    from tracemill.operators.redaction import widened_locations
+
+    m = spark.createDataFrame([("s", 0, '[{"arguments": {"k": "v"}}]', '{"a": {"t": "u"}}', '"me"')], "session_id string, idx int, invocations string, extra string, author string")
+    assert [(x["field"], x["text"]) for x in widened_locations(m).collect()] == [("invocations[0].arguments.k", "v"), ("extra.a.t", "u"), ("author", "me")]

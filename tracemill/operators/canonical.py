@@ -73,3 +73,10 @@ def merged_sessions(old: DataFrame, new: DataFrame, key: str, frozen: list[str],
     cols += [F.when(done & F.col(f"o.{c}").isNotNull(), F.col(f"o.{c}")).otherwise(F.coalesce(f"n.{c}", f"o.{c}")).alias(c) for c in frozen]
     status = F.when(done | (F.col("n.status") == ended), ended).otherwise(F.coalesce("n.status", "o.status")).alias("status")
     return o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full").select(*cols, status)
+
+
+def coverage(matrix: DataFrame, supported: DataFrame) -> DataFrame:
+    """session_id, state, types: of a capability matrix, what a session's client can't tell (missing), could have (absent), and did (present); supported: type."""
+    can = supported.select("type", F.lit(True).alias("can"))
+    state = F.when(F.col("n_events") + F.col("n_overrides") > 0, "present").when(F.col("can"), "supported_but_absent").otherwise("missing")
+    return matrix.join(F.broadcast(can), "type", "left").groupBy("session_id", state.alias("state")).agg(F.array_sort(F.collect_list("type")).alias("types"))

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.texts import json_strings
+
 # What stands for an entity of each type, and for a user's name and paths.
 PLACEHOLDERS = {
     "person_name": "[REDACTED_NAME]", "email": "[REDACTED_EMAIL]", "phone": "[REDACTED_PHONE]", "username": "[REDACTED_USERNAME]", "user_id": "[REDACTED_USER_ID]", "org_name": "[REDACTED_ORG]", "project_name": "[REDACTED_PROJECT]",
@@ -57,6 +59,12 @@ def text_locations(messages: DataFrame, sessions: DataFrame | None = None) -> Da
     return out.filter("trim(text) <> ''")
 
 
+def widened_locations(messages: DataFrame, fields: Sequence[str] = ("invocations", "snippets", "extra", "author")) -> DataFrame:
+    """session_id, idx, field, text of every string, however deep, in messages' further fields (JSON texts)."""
+    each = [F.transform(json_strings(F.col(f)), lambda s, f=f: F.struct(F.concat(F.lit(f), F.when((s["path"] != "") & ~F.startswith(s["path"], F.lit("[")), ".").otherwise(""), s["path"]).alias("field"), s["text"].alias("text"))) for f in fields if f in messages.columns]
+    return messages.select("session_id", "idx", F.explode(F.concat(*each)).alias("p")).select("session_id", "idx", "p.field", "p.text")
+
+
 def allowed(findings: DataFrame, exact: Sequence[str] = (), kinds: Sequence[str] = (), patterns: Sequence[str] = ()) -> DataFrame:
     """findings less those that a user's list allows: by text, by type, or by a pattern that matches; a pattern that can't be read allows nothing."""
     skip = F.col("entity").isin(*exact) if exact else F.lit(False)

@@ -110,8 +110,11 @@ class Spec:
     predicates: tuple[Predicate, ...] = ()
     since: datetime | None = None
     limit: int = DEFAULT_LIMIT
+    canonical: bool = False
 
     def __post_init__(self) -> None:
+        if self.canonical:
+            raise SpecError("aggregates are over base rows; there are none over the canonical view")
         d = self.dimensions
         if not 1 <= len(d) <= MAX_DIMENSIONS or len(set(d)) != len(d):
             raise SpecError(f"from 1 to {MAX_DIMENSIONS} different dimensions are needed")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import texts as T
 from ..operators import workbench as W
+from ..operators.canonical import capability_matrix, coverage
 from ..sources.fixtures import EVENTS_SQL, USAGE_SQL, WIDE_SQL, events, sessions, token_usage
 
 NOW = "2024-06-01 00:00:00"
@@ -140,6 +142,24 @@ def redaction_summary(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("entity_type", "status").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("session_id").alias("sessions"))
 
 
+def hold_history(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d).select("session_id", F.col("id").alias("history_id"), F.col("event_at").alias("changed_at"), F.element_at(F.array(*map(F.lit, ("pending_review", "embargoed", "released"))), (F.col("k") % 3 + 1).cast("int")).alias("state"))
+    return W.hold_history(e, 5).select("history_id", "state")
+
+
+def coverage_buckets(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d)
+    types = spark.createDataFrame([("view",), ("click",), ("refund",), ("patch",)], "type string")
+    matrix = capability_matrix(types, e.select("session_id").distinct(), e.filter("type <> 'click' or k % 50 = 0"), e.limit(0))
+    return coverage(matrix, types.filter("type <> 'patch'")).select("session_id", "state", F.array_join("types", ",").alias("types"))
+
+
+def text_functions(spark: SparkSession, d: str) -> DataFrame:
+    c = sessions(spark, d).select("session_id", "start_time", "end_time", F.coalesce("model", F.lit("claude-opus-4-20250514")).alias("model"))
+    key = F.concat(F.when(F.length("session_id") % 2 == 0, "npm_").otherwise("k"), F.md5("session_id"))
+    return c.select("session_id", T.masked(key).alias("masked"), T.short_model(F.col("model")).alias("model"), T.squashed(F.concat(F.lit("  a  b "), F.col("session_id"), F.lit(" and some more words")), 16).alias("short"), T.seconds_between(F.col("start_time"), F.col("end_time")).alias("seconds"), T.time_ago(F.col("end_time"), F.lit("1998-08-03 00:00:00").cast("timestamp_ntz")).alias("ago"))
+
+
 QUERIES = {
     "session_page": lambda s, d: W.session_list(sessions(s, d), status="approved", sort="ai_quality_score", limit=40, offset=20).select("session_id", "ai_quality_score"),
     "session_page_fallback": lambda s, d: W.session_list(sessions(s, d), source="codex", task_type="debugging", sort="no such", descending=False, limit=25).select("session_id"),
@@ -190,6 +210,10 @@ QUERIES = {
     "policy_merge": policy_merge,
     "latest_sessions": latest_sessions,
     "redaction_summary": redaction_summary,
+    "hold_history": hold_history,
+    "coverage_buckets": coverage_buckets,
+    "text_functions": text_functions,
+    "unscored_count": lambda s, d: sessions(s, d).filter("ai_quality_score is null").agg(F.count(F.lit(1)).alias("n")),
 }
 
 _W, _E, _U = f"WITH {WIDE_SQL}", f"WITH {EVENTS_SQL}", f"WITH {USAGE_SQL}"
@@ -270,5 +294,9 @@ SQL = {
     "review_updates": f"{_W} SELECT session_id, CASE WHEN tool_uses = 7 AND user_interrupts > 1 THEN 'blocked' ELSE review_status END AS review_status, CASE WHEN tool_uses = 7 AND user_interrupts < 3 THEN 4 ELSE ai_quality_score END AS ai_quality_score FROM ws",
     "policy_merge": "SELECT * FROM (VALUES ('block_domain', 'a.example,b.example'), ('redact_string', 'x'), ('exclude_project', 'p')) t(policy_type, \"values\")",
     "latest_sessions": f"{_W} SELECT session_key, arg_max(session_id, (coalesce(CASE WHEN user_messages = 1 THEN end_time END, start_time, TIMESTAMP '1900-01-01'), session_id)) AS session_id FROM ws GROUP BY 1",
+    "hold_history": f"{_E} SELECT id AS history_id, ['pending_review', 'embargoed', 'released'][k % 3 + 1] AS state FROM ev WHERE session_id = 5",
+    "coverage_buckets": f"{_E}, s AS (SELECT DISTINCT session_id FROM ev), m AS (SELECT s.session_id, t.type, EXISTS (FROM ev WHERE ev.session_id = s.session_id AND ev.type = t.type AND (ev.type <> 'click' OR k % 50 = 0)) AS seen FROM s CROSS JOIN (VALUES ('view'), ('click'), ('refund'), ('patch')) t(type)), c AS (SELECT session_id, type, CASE WHEN seen THEN 'present' WHEN type <> 'patch' THEN 'supported_but_absent' ELSE 'missing' END AS state FROM m) SELECT session_id, state, string_agg(type, ',' ORDER BY type) AS types FROM c GROUP BY 1, 2",
+    "text_functions": f"{_W}, x AS (SELECT *, CASE WHEN length(session_id) % 2 = 0 THEN 'npm_' ELSE 'k' END || md5(session_id) AS key, 'a b ' || session_id || ' and some more words' AS t, date_diff('second', end_time, TIMESTAMP '1998-08-03') AS s FROM ws) SELECT session_id, left(key, CASE WHEN starts_with(key, 'npm_') THEN 8 ELSE 4 END) || '***' || right(key, 4) AS masked, coalesce(model, 'opus-4') AS model, left(t, 15) || '…' AS short, CASE WHEN start_time IS NOT NULL THEN duration_seconds END AS seconds, CASE WHEN s IS NULL OR s < 0 THEN 'recently' WHEN s < 3600 THEN 'just now' WHEN s < 86400 THEN (s // 3600) || 'h ago' WHEN s < 172800 THEN 'yesterday' ELSE (s // 86400) || ' days ago' END AS ago FROM x",
+    "unscored_count": f"{_W} SELECT count(*) AS n FROM ws WHERE ai_quality_score IS NULL",
     "redaction_summary": f"{_W} SELECT 'e' || (tool_uses % 6) AS entity_type, CASE WHEN tool_uses % 9 = 0 THEN 'open' ELSE 'ignored' END AS status, count(*) AS n, count(DISTINCT session_id) AS sessions FROM ws GROUP BY 1, 2",
 }
