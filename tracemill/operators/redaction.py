@@ -61,7 +61,12 @@ def text_locations(messages: DataFrame, sessions: DataFrame | None = None) -> Da
 
 def widened_locations(messages: DataFrame, fields: Sequence[str] = ("invocations", "snippets", "extra", "author")) -> DataFrame:
     """session_id, idx, field, text of every string, however deep, in messages' further fields (JSON texts)."""
-    each = [F.transform(json_strings(F.col(f)), lambda s, f=f: F.struct(F.concat(F.lit(f), F.when((s["path"] != "") & ~F.startswith(s["path"], F.lit("[")), ".").otherwise(""), s["path"]).alias("field"), s["text"].alias("text"))) for f in fields if f in messages.columns]
+
+    def located(name: str) -> Column:
+        dot = lambda path: F.when((path != "") & ~F.startswith(path, F.lit("[")), ".").otherwise("")
+        return F.transform(json_strings(F.col(name)), lambda s: F.struct(F.concat(F.lit(name), dot(s["path"]), s["path"]).alias("field"), s["text"].alias("text")))
+
+    each = [located(f) for f in fields if f in messages.columns]
     return messages.select("session_id", "idx", F.explode(F.concat(*each)).alias("p")).select("session_id", "idx", "p.field", "p.text")
 
 
