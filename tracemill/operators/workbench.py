@@ -46,8 +46,13 @@ def _n(name: str = "n") -> Column:
     return F.count(F.lit(1)).alias(name)
 
 
-def _cost(how=F.sum) -> Column:
-    return F.round(how("estimated_cost_usd"), 4)
+def _cost() -> Column:
+    return F.round(F.sum("estimated_cost_usd"), 4)
+
+
+def _mean_cost() -> Column:
+    """The sum is rounded, not the mean, which would meet ties."""
+    return _cost() / F.count("estimated_cost_usd")
 
 
 def _share(condition: Column) -> Column:
@@ -179,7 +184,7 @@ def duration_and_score(sessions: DataFrame, n: int = 200) -> DataFrame:
 
 def model_effectiveness(sessions: DataFrame) -> DataFrame:
     known = real_models(sessions.filter("start_time is not null"))
-    return known.groupBy(labelled_model().alias("model")).agg(_n("sessions"), F.avg("ai_quality_score").alias("mean_score"), _share(outcome() == "resolved").alias("resolve_rate"), _cost(F.avg).alias("mean_cost"), _cost().alias("cost"))
+    return known.groupBy(labelled_model().alias("model")).agg(_n("sessions"), F.avg("ai_quality_score").alias("mean_score"), _share(outcome() == "resolved").alias("resolve_rate"), _mean_cost().alias("mean_cost"), _cost().alias("cost"))
 
 
 def tool_usage(sessions: DataFrame, n: int = 20) -> DataFrame:
@@ -189,7 +194,7 @@ def tool_usage(sessions: DataFrame, n: int = 20) -> DataFrame:
 
 def trends(sessions: DataFrame) -> DataFrame:
     dated = sessions.filter("start_time is not null")
-    return dated.groupBy(F.date_format("start_time", "yyyy-MM-dd").alias("day")).agg(_n("sessions"), _cost(F.avg).alias("mean_cost"), F.avg("duration_seconds").alias("mean_duration"), _share(outcome() == "resolved").alias("resolve_rate"))
+    return dated.groupBy(F.date_format("start_time", "yyyy-MM-dd").alias("day")).agg(_n("sessions"), _mean_cost().alias("mean_cost"), F.avg("duration_seconds").alias("mean_duration"), _share(outcome() == "resolved").alias("resolve_rate"))
 
 
 def cost_by_model(sessions: DataFrame) -> DataFrame:
@@ -220,7 +225,7 @@ def advisor_tasks(sessions: DataFrame) -> DataFrame:
 
 
 def advisor_scores(sessions: DataFrame) -> DataFrame:
-    return sessions.filter("ai_quality_score is not null").groupBy(F.col("ai_quality_score").alias("score")).agg(_n("sessions"), _cost(F.avg).alias("mean_cost"))
+    return sessions.filter("ai_quality_score is not null").groupBy(F.col("ai_quality_score").alias("score")).agg(_n("sessions"), _mean_cost().alias("mean_cost"))
 
 
 def low_days(sessions: DataFrame, days: int = 2, fewer: int | Column = 3) -> DataFrame:

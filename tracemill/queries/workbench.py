@@ -221,7 +221,7 @@ _TASK = "coalesce(ai_task_type, task_type)"
 _MODEL = "CASE WHEN model_effort <> '' THEN model || ' @ ' || model_effort ELSE model END"
 _REAL = "model IS NOT NULL AND model <> '<synthetic>'"
 _TOKENS = "CAST(sum(coalesce(input_tokens, 0) + output_tokens + coalesce(cache_read_tokens, 0) + cache_creation_tokens) AS BIGINT)"
-_COST, _MEAN_COST = "round(sum(estimated_cost_usd), 4)", "round(avg(estimated_cost_usd), 4)"
+_COST, _MEAN_COST = "round(sum(estimated_cost_usd), 4)", "round(sum(estimated_cost_usd), 4) / nullif(count(estimated_cost_usd), 0)"
 _RESOLVED = "(ai_outcome_badge = 'resolved' OR (ai_outcome_badge IS NULL AND outcome_badge = 'tests_passed'))"
 _OUTCOME = """CASE WHEN ai_outcome_badge IN ('resolved', 'partial', 'failed') THEN ai_outcome_badge WHEN ai_outcome_badge IS NOT NULL THEN 'unknown'
     WHEN outcome_badge = 'tests_passed' THEN 'resolved' WHEN outcome_badge IN ('tests_failed', 'build_failed', 'errored') THEN 'failed' WHEN outcome_badge = 'completed' THEN 'inconclusive'
