@@ -329,7 +329,9 @@ def _central(tagged: DataFrame) -> DataFrame:
     bits = [F.sum(F.getbit("sketch_0", F.lit(i))).alias(f"b{i}") for i in range(64)]
     counted = tagged.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *bits)
     usual = sum((F.when(2 * F.col(f"b{i}") > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(1, 64)), F.when(2 * F.col("b0") > F.col("n"), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
-    held = tagged.join(stored(counted.select("key", usual.alias("usual")), "usual"), "key")
+    # A row a bucket: broadcast where they are few, so that a bucket's members are reduced where they lie.
+    usual = stored(counted.select("key", usual.alias("usual")), "usual")
+    held = tagged.join(F.broadcast(usual) if usual.count() <= BROADCAST_IDS else usual, "key")
     return _first(held, F.bit_count(F.col("sketch_0").bitwiseXOR(F.col("usual"))))
 
 
